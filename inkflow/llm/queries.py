@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from inkflow.llm.decontaminate import op4_decontaminate
+from inkflow.llm.mixing import OP3_SQL, op3_mix
+from inkflow.llm.secrets import OP2_SQL, op2_secrets
 from inkflow.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
+    "op3_mix": op3_mix,
     "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_secrets": OP2_SQL,
+    "op3_mix": OP3_SQL,
+}
