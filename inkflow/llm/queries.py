@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkflow.llm.decontaminate import op4_decontaminate
 from inkflow.llm.mixing import OP3_SQL, op3_mix
+from inkflow.llm.quality import op9_quality
 from inkflow.llm.secrets import OP2_SQL, op2_secrets
 from inkflow.llm.simhash import op7_simhash
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {
