@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from inkflow.llm.common import components, cut, small_batches, table
 
-#: Fingerprints that a shard of the index aims to hold, the most shards, the queries of one task, the fan-out of the trees.
-SHARD, SHARDS, QUERIES, FAN = 8192, 4096, 200_000, 16
+#: Fingerprints that a shard of the index aims to hold, the least and most shards, the queries of one task, the fan-out of the trees.
+SHARD, LEAST_SHARDS, SHARDS, QUERIES, FAN = 131_072, 64, 4096, 200_000, 16
 #: Pairs of query and node that are expanded at once.
 FRONTIER = 1 << 19
 SIGN = np.uint64(1 << 63)
@@ -117,11 +117,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def links(codes: DataFrame, most: int = 2, shard: int = SHARD) -> DataFrame:
+def links(codes: DataFrame, most: int = 2, shard: int = SHARD, least: int = LEAST_SHARDS) -> DataFrame:
     """Edges (a, b) that connect all distinct ``codes(fp)`` with ``most`` or fewer differing bits, as stars."""
     spark = codes.sparkSession
     n = codes.count()
-    parts = max(1, min(SHARDS, -(-n // shard)))
+    parts = max(least, min(SHARDS, -(-n // shard)))
     ranked = codes.select("fp")
     for k in (1, 2, 4, 8, 16, 32):
         ranked = ranked.withColumn("r", F.expr(f"{'r' if k > 1 else 'fp'} ^ shiftrightunsigned({'r' if k > 1 else 'fp'}, {k})"))
