@@ -5,6 +5,7 @@ from __future__ import annotations
 from inkflow.llm.decontaminate import op4_decontaminate
 from inkflow.llm.language import op8_language
 from inkflow.llm.mixing import OP3_SQL, op3_mix
+from inkflow.llm.neardup_vectors import op5_vectors
 from inkflow.llm.quality import op9_quality
 from inkflow.llm.secrets import OP2_SQL, op2_secrets
 from inkflow.llm.simhash import op7_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_mix": op3_mix,
     "op4_decontaminate": op4_decontaminate,
+    "op5_vectors": op5_vectors,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
