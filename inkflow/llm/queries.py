@@ -9,6 +9,7 @@ from inkflow.llm.neardup_vectors import op5_vectors
 from inkflow.llm.quality import op9_quality
 from inkflow.llm.secrets import OP2_SQL, op2_secrets
 from inkflow.llm.simhash import op7_simhash
+from inkflow.llm.substrings import op6_substrings
 from inkflow.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_decontaminate": op4_decontaminate,
     "op5_vectors": op5_vectors,
+    "op6_substrings": op6_substrings,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
