@@ -11,8 +11,10 @@ from inkflow.llm.secrets import OP2_SQL, op2_secrets
 from inkflow.llm.simhash import op7_simhash
 from inkflow.llm.substrings import op6_substrings
 from inkflow.llm.toxicity import op10_toxicity
+from inkflow.llm.urls import op1_urls
 
 QUERIES = {
+    "op1_urls": op1_urls,
     "op2_secrets": op2_secrets,
     "op3_mix": op3_mix,
     "op4_decontaminate": op4_decontaminate,
