@@ -97,6 +97,19 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed:
     return d.select("doc_id", "source", "text_hash", "size", "source_size", "target", taken.alias("taken"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes words of, with their own columns, ``_target`` of their source and ``_taken``.
+
+    Rows with equal doc_id, source and text share evenly, rounded down, what they take together.
+    """
+    keys = ("doc_id", "source", "text_hash")
+    plan = mix(docs).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("target").alias("_target"), F.expr("sum(taken) div count(1)").alias("_taken")).where("_taken > 0")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.xxhash64("text").alias("_hash"))
+    same = d["_doc"]["doc_id"].eqNullSafe(plan["_doc_id"]) & d["_doc"]["source"].eqNullSafe(plan["_source"]) & (d["_hash"] == plan["_text_hash"])
+    taken = d.join(plan.hint("shuffle_hash"), same)
+    return taken.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns], *[F.col(c) for c in ("_target", "_taken") if c not in docs.columns])
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
