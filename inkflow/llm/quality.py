@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import cut, small_batches, table
+from inkflow.llm.common import cut, small_batches, table, union_all
 
 #: N-gram order; 16 bits a character, so that an n-gram is one 64-bit integer.
 ORDER = 4
 #: Rows of the weight table that are broadcast at once (16 bytes each), ids of trusted documents that are.
 BLOCK_ROWS, BROADCAST_IDS = 4_000_000, 4_000_000
+#: Rows in a part of the tables of counts.
+PART_ROWS = 2_000_000
 #: Characters that a worker holds at once, characters of average text that are added to a document's own.
 CHARS, PRIOR_CHARS = 1 << 20, 50
 #: The limit is the median plus this many times the distance from there to the upper quantile.
@@ -121,18 +123,20 @@ def counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(top: DataFrame, order: int = ORDER) -> DataFrame:
-    """(k, gram, own, context): additive log weights from ``top(gram, n)``, the counts of the highest order.
+def kneser_ney(top: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
+    """((k, gram, own, context), log weight of any character): additive log weights from ``top(gram, n)``, the counts of the highest order.
 
     Lower orders count distinct left neighbours. Discounts of counts 1, 2 and 3 or more come from the numbers of
     n-grams with counts 1 to 4 of each order. ``own`` is log P(gram) less what its context and its shorter form
     give already; ``context`` is the log of the mass that the gram, as a context, leaves to shorter forms.
     """
-    levels = {order: cut(top.select("gram", F.col("n").alias("c")))}
+    top = cut(top.select("gram", F.col("n").alias("c")))
+    # A table of one part needs no exchange; the parts grow with the rows.
+    levels = {order: cut(top.coalesce(-(-top.count() // PART_ROWS) or 1))}
     for k in range(order - 1, 0, -1):
         levels[k] = cut(levels[k + 1].groupBy(F.col("gram").bitwiseAND((1 << 16 * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
     symbols = levels[1].count() + 1
-    below, gammas = None, {}
+    gammas, base = {}, 0.0
     for k in range(1, order + 1):
         n1, n2, n3, n4 = levels[k].agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)]).first()
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -140,31 +144,27 @@ def kneser_ney(top: DataFrame, order: int = ORDER) -> DataFrame:
         d = [min(max(x, 0.1), 0.95 + i) for i, x in enumerate(d)]
         c = F.col("c")
         discount = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        context = F.shiftrightunsigned("gram", 16).cast("long") if k > 1 else F.lit(0).cast("long")
-        level = levels[k].select("gram", "c", discount.alias("discount"), context.alias("context"), F.col("gram").bitwiseAND((1 << 16 * (k - 1)) - 1 if k > 1 else 0).alias("shorter"))
-        total = level.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("discount") / F.sum("c")).alias("gamma"))
-        gammas[k] = cut(total)
-        p = level.join(gammas[k], "context").withColumn("alpha", (F.col("c") - F.col("discount")) / F.col("total"))
+        level = levels[k].select("gram", "c", discount.alias("discount"))
         if k == 1:
-            p = p.withColumn("rest", F.col("gamma") / symbols)
+            total, left = level.agg(F.sum("c"), F.sum("discount")).first()
+            gamma = left / total if total else 1.0
+            base = float(np.log(gamma / symbols))
+            p = level.select("gram", ((c - F.col("discount")) / F.lit(float(total or 1))).alias("alpha"), F.lit(gamma / symbols).alias("rest"))
         else:
-            p = p.join(below.select(F.col("gram").alias("shorter"), F.col("p").alias("p0")), "shorter").withColumn("rest", F.col("gamma") * F.col("p0"))
-        p = cut(p.select(F.lit(k).alias("k"), "gram", (F.col("alpha") + F.col("rest")).alias("p"), (F.log(F.col("alpha") + F.col("rest")) - F.log("rest")).alias("own")))
-        levels[k], below = p, p
-    out = None
+            level = level.withColumns({"context": F.shiftrightunsigned("gram", 16).cast("long"), "shorter": F.col("gram").bitwiseAND((1 << 16 * (k - 1)) - 1)})
+            gammas[k] = cut(level.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("discount") / F.sum("c")).alias("gamma")))
+            p = level.join(gammas[k], "context").join(levels[k - 1].select(F.col("gram").alias("shorter"), F.col("p").alias("p0")), "shorter")
+            p = p.select("gram", ((F.col("c") - F.col("discount")) / F.col("total")).alias("alpha"), (F.col("gamma") * F.col("p0")).alias("rest"))
+        levels[k] = cut(p.select(F.lit(k).alias("k"), "gram", (F.col("alpha") + F.col("rest")).alias("p"), (F.log(F.col("alpha") + F.col("rest")) - F.log("rest")).alias("own")))
+    weights = []
     for k in range(1, order + 1):
         w = levels[k]
-        if k < order:
-            w = w.join(gammas[k + 1].select(F.col("context").alias("gram"), F.log("gamma").alias("context")), "gram", "left")
-        else:
-            w = w.withColumn("context", F.lit(0.0))
-        w = w.select("k", "gram", F.col("own").cast("float"), F.coalesce("context", F.lit(0.0)).cast("float").alias("context"))
-        out = w if out is None else out.unionByName(w)
-    base = gammas[1].select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), (F.log("gamma") - float(np.log(symbols))).cast("float").alias("own"), F.lit(0.0).cast("float").alias("context"))
-    return cut(out.unionByName(base))
+        w = w.join(gammas[k + 1].select(F.col("context").alias("gram"), F.log("gamma").alias("context")), "gram", "left") if k < order else w.withColumn("context", F.lit(0.0))
+        weights.append(w.select("k", "gram", F.col("own").cast("float"), F.coalesce("context", F.lit(0.0)).cast("float").alias("context")))
+    return cut(union_all(weights)), base
 
 
-def scored(docs: DataFrame, weights: DataFrame, order: int = ORDER, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def scored(docs: DataFrame, weights: DataFrame, base: float, order: int = ORDER, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc, n_tokens, log_p): the characters of each text and their log probability, over all blocks of the table."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -174,16 +174,15 @@ def scored(docs: DataFrame, weights: DataFrame, order: int = ORDER, block_rows:
     for block in range(blocks):
         rows = weights.where(F.pmod(F.xxhash64("gram", "k"), F.lit(blocks)) == block).toArrow()
         k, gram, own, context = (rows.column(x).to_numpy() for x in ("k", "gram", "own", "context"))
-        base = float(own[k == 0].sum())
         tables = spark.sparkContext.broadcast([(gram[k == j].view(np.uint64), own[k == j], context[k == j]) for j in range(1, order + 1)])
 
-        def run(batches, tables=tables, base=base):
+        def run(batches, tables=tables, base=0.0 if block else base, first=not block):
             look = [Weights(*t) for t in tables.value]
 
             for b in batches:
                 texts = b.column(0).field("text").to_pylist()
                 n, log_p = b.column(1).to_numpy().copy(), b.column(2).to_numpy().copy()
-                if not block:
+                if first:
                     n += np.array([len(t or "") for t in texts], np.int64)
                 group, owners, size = [], [], 0
 
@@ -239,13 +238,13 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     small_batches(docs.sparkSession)
     trusted = docs.select("doc_id", "text", "lang").where("text <> ''").join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
-    weights = kneser_ney(counts(trusted))
+    weights, base = kneser_ney(counts(trusted))
     rate = -F.col("log_p") / F.col("n_tokens")
-    seen = cut(scored(trusted, weights).select(_language(F.col("doc.lang")).alias("lang"), rate.alias("rate")))
+    seen = cut(scored(trusted, weights, base).select(_language(F.col("doc.lang")).alias("lang"), rate.alias("rate")))
     q = [F.percentile_approx("rate", 0.5, 100_000).alias("mid"), F.percentile_approx("rate", UPPER, 100_000).alias("high")]
     limits = {r["lang"]: (r["mid"], r["high"]) for r in seen.groupBy("lang").agg(*q).collect()}  # one row per language
     whole = seen.agg(*q).first()
-    out = scored(docs, weights).withColumn("language", _language(F.col("doc.lang")))
+    out = scored(docs, weights, base).withColumn("language", _language(F.col("doc.lang")))
     spark = docs.sparkSession
     limit = F.broadcast(spark.createDataFrame([(k, *v) for k, v in limits.items()], "language string, mid double, high double"))
     out = out.join(limit, "language", "left").withColumns({"mid": F.coalesce("mid", F.lit(whole["mid"])), "high": F.coalesce("high", F.lit(whole["high"]))})
