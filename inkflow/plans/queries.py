@@ -664,9 +664,8 @@ def rotary(spark, sf_dir):
 def dot_logits(spark, sf_dir):
     """Every vector against a stated set of eight output rows."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    outputs = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id < 8").collect()]
-    rows = spark.createDataFrame([(outputs,)], "o array<struct<output_id:long,w:array<float>>>").first()[0]
-    held = F.array(*[F.struct(F.lit(r["output_id"]).cast("long").alias("output_id"), F.array(*[F.lit(float(x)) for x in r["w"]]).alias("w")) for r in rows])
+    rows = e.where("vec_id < 8").collect()
+    held = F.array(*[F.struct(F.lit(r["vec_id"]).cast("long").alias("output_id"), F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("w")) for r in rows])
     return e.select("vec_id", "embedding", F.explode(held).alias("o")).select("vec_id", "o.output_id", F.round(numeric.dot(F.col("embedding"), F.col("o.w")), 6).alias("logit"))
 
 

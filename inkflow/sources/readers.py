@@ -36,19 +36,22 @@ def read_documents(spark: SparkSession, json_path: str | None = None, mix: list[
     return reader.json(path) if (files or path).endswith((".json", ".jsonl", ".json.gz")) else reader.parquet(path)
 
 
-def by_source(docs: DataFrame, source: str | None, mode: str = "include") -> DataFrame:
-    """Rows of one source, or of all others (those of no source too); no source, no filter."""
+def _chosen(source: str, mode: str) -> Column:
     if mode not in ("include", "exclude"):
         raise ValueError(f"mode {mode!r}: include or exclude")
-    if not source:
-        return docs
-    return docs.where(F.col("source") == source) if mode == "include" else docs.where(~F.col("source").eqNullSafe(F.lit(source)))
+    same = F.col("source").eqNullSafe(F.lit(source))
+    return same if mode == "include" else ~same
+
+
+def by_source(docs: DataFrame, source: str | None, mode: str = "include") -> DataFrame:
+    """Rows of one source, or of all others (those of no source too); no source, no filter."""
+    chosen = _chosen(source, mode)
+    return docs.where(chosen) if source else docs
 
 
 def filter_audit(docs: DataFrame, source: str, mode: str = "include") -> DataFrame:
     """One row: rows before and after the filter."""
-    kept = by_source(docs.withColumn("_all", F.lit(1)), source, mode)
-    return docs.agg(F.count(F.lit(1)).alias("before")).join(kept.agg(F.count(F.lit(1)).alias("after")))
+    return docs.agg(F.count(F.lit(1)).alias("before"), F.count_if(_chosen(source, mode)).alias("after"))
 
 
 def filtered_or_error(docs: DataFrame, source: str | None, mode: str = "include") -> DataFrame:
