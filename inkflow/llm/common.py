@@ -41,15 +41,22 @@ def seeded(seed: int, *columns) -> F.Column:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (both of one orderable type) -> (node, root), root the least node.
 
-    Rounds of contraction: every node joins its least neighbour, edges are rewritten to those, repeated and
-    closed ones are dropped; no round holds a neighbour list, and hubs only meet in partial minima and in
-    joins against one row per node. Nulls are ignored; no edges give an empty result.
+    Rounds of contraction: every node points to its least neighbour, pointers are doubled until they end in nodes
+    that point to none, and edges are rewritten to those; repeated and closed ones are dropped. Each tree holds two
+    nodes or more, so rounds and doublings grow with the logarithm of the nodes. No round holds a neighbour list, and hubs only meet in
+    partial minima and in joins against one row per node. Nulls are ignored; no edges give an empty result.
     """
     e = cut(edges.select("a", "b").where("a <> b").distinct())
     labels = cut(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("root", F.col("node")))
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
         parent = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+        while True:
+            jumped = parent.join(parent.toDF("p", "pp"), "p").select("a", "p", "pp")
+            jumped = cut(jumped)
+            parent = jumped.select("a", F.col("pp").alias("p"))
+            if jumped.where("p <> pp").isEmpty():
+                break
         pa, pb = parent.toDF("a", "pa"), parent.toDF("b", "pb")
         e = cut(e.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         labels = cut(labels.join(parent.toDF("root", "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))

@@ -177,8 +177,7 @@ def links(classes: DataFrame, limit: float, probes: int | None = None) -> tuple[
         counted.append(found.select(F.col("a").alias("cid"), "n"))
         starred.append(found.select("a", "b"))
     if not dims:
-        empty = classes.select("cid", F.col("cid").alias("b"), "n")
-        return empty.select("cid", "n"), empty.select(F.col("cid").alias("a"), "b")
+        return classes.select("cid", F.col("n").alias("n_others")), classes.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     total, edges = counted[0], starred[0]
     for c, s in zip(counted[1:], starred[1:]):
         total, edges = total.union(c), edges.union(s)
