@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkflow.llm.common import cut, seeded, table
 
 #: Words in a block, documents in a shard, the seed, and the weights that sources take in turn.
-BLOCK, SHARD_DOCS, SEED, WEIGHTS = 32, 20_000, 67, (3, 1, 2)
+BLOCK, SHARD_DOCS, SEED, WEIGHTS = 16, 20_000, 67, (3, 1, 2)
 #: All targets together, and the most of one source, as multiples of what is there.
 SHARE, MOST = 1.5, 2
 #: A word is a run without blanks and the controls from tab to carriage return.
