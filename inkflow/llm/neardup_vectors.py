@@ -207,3 +207,14 @@ def vector_groups(vectors: DataFrame, limit: float = 0.93) -> DataFrame:
 
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label, and what they reach.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE pairs.a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS component_id, vec_id = (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS kept FROM embeddings
+"""

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from inkflow.llm.decontaminate import op4_decontaminate
+from inkflow.llm.decontaminate import OP4_SQL, op4_decontaminate
 from inkflow.llm.language import op8_language
 from inkflow.llm.mixing import OP3_SQL, op3_mix
-from inkflow.llm.neardup_vectors import op5_vectors
+from inkflow.llm.neardup_vectors import OP5_SQL, op5_vectors
 from inkflow.llm.quality import op9_quality
 from inkflow.llm.secrets import OP2_SQL, op2_secrets
 from inkflow.llm.simhash import op7_simhash
 from inkflow.llm.substrings import op6_substrings
 from inkflow.llm.toxicity import op10_toxicity
-from inkflow.llm.urls import op1_urls
+from inkflow.llm.urls import OP1_SQL, op1_urls
 
 QUERIES = {
     "op1_urls": op1_urls,
@@ -27,6 +27,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_urls": OP1_SQL,
     "op2_secrets": OP2_SQL,
     "op3_mix": OP3_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op5_vectors": OP5_SQL,
 }

@@ -111,3 +111,38 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None)
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """The same in SQL, a few relations per level of the tree."""
+    af, aa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    host, rules = f"translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{af}', '{aa}')", sorted(RULES, key=lambda r: -len(r[0]))
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    rule, ruled = " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in rules), " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in rules)
+    stem, ending = "regexp_replace(s, '\\.[A-Za-z]{1,5}$', '')", "regexp_extract(s, '(\\.[A-Za-z]{1,5})$', 1)"
+    kind = f"CASE WHEN regexp_full_match({stem}, '[0-9]+') THEN '<n>' WHEN regexp_full_match({stem}, '[0-9a-fA-F-]{{8,}}') AND regexp_matches({stem}, '[0-9]') THEN '<x>' WHEN regexp_matches({stem}, '[0-9]') THEN '<m>' ELSE {stem} END || {ending}"
+    out = [
+        f"p0 AS (SELECT page_id, {host} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
+        f"p1 AS (SELECT *, CASE {rule} END AS rule FROM p0)",
+        f"p AS (SELECT *, CASE {ruled} END AS ruled, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {kind}) AS segments FROM p1)",
+        "t0 AS (SELECT host, segments, count(*) AS n, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good, []::VARCHAR[] AS template FROM p GROUP BY host, segments)",
+    ]
+    for k in range(LEVELS):
+        pooled, own, rest = "((all_bad + 1) / (al + 2)::DOUBLE)", "(bad + good)", "(al - bad - good)"
+        z = f"abs((bad + {pooled}) / ({own} + 1) - (all_bad - bad + {pooled}) / ({rest} + 1)) / sqrt({pooled} * (1 - {pooled}) * (1 / ({own} + 1)::DOUBLE + 1 / ({rest} + 1)::DOUBLE))"
+        merged = "'{' || CASE WHEN bad + good > 0 THEN 'l' ELSE 'u' END || round(depth, 0)::DOUBLE::VARCHAR || CASE WHEN leaf THEN '$' ELSE '' END || '}'"
+        out += [
+            f"c{k} AS (SELECT host, template, segments[{k + 1}] AS segment, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, sum(good)::BIGINT AS good, avg(len(segments) - {k}) AS depth, bool_or(segments[{k + 2}] IS NULL) AS leaf FROM t{k} WHERE len(segments) > {k} GROUP BY ALL)",
+            f"s{k} AS (SELECT *, count(*) OVER w AS children, max(n) OVER w AS most, (sum(bad) OVER w)::BIGINT AS all_bad, (sum(bad + good) OVER w)::BIGINT AS al FROM c{k} WINDOW w AS (PARTITION BY host, template))",
+            f"n{k} AS (SELECT host, template, segment, CASE WHEN children > {MANY} AND n * 4 < greatest(most * 4, 1) + most THEN '{WILD}' WHEN children > 1 AND bad + good > 0 AND {z} <= {ALIKE}::DOUBLE THEN {merged} ELSE segment END AS name FROM s{k})",
+            f"t{k + 1} AS (SELECT t.host, t.segments, t.n, t.bad, t.good, CASE WHEN name IS NOT NULL THEN list_append(t.template, name) ELSE t.template END AS template FROM t{k} t LEFT JOIN n{k} m ON t.host = m.host AND t.template = m.template AND t.segments[{k + 1}] = m.segment)",
+        ]
+    out += [
+        f"t AS (SELECT * EXCLUDE (template), CASE WHEN len(segments) > {LEVELS} THEN list_append(template, '{REST}') ELSE template END AS template FROM t{LEVELS})",
+        f"u AS (SELECT host, template, (sum(bad) + {PRIOR / 2}::DOUBLE) / (sum(bad + good) + {PRIOR}::DOUBLE) AS purity FROM t GROUP BY host, template)",
+    ]
+    last = f"SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(t.template, '/') AS template, purity FROM p JOIN t ON p.host = t.host AND p.segments = t.segments JOIN u ON t.host = u.host AND t.template = u.template"
+    return "WITH " + ",\n".join(out) + "\n" + last
+
+
+OP1_SQL = _sql()
