@@ -90,3 +90,11 @@ def framed(ids: Column) -> Column:
 def n_tokens(text: Column) -> Column:
     """Rows that a framed text without shape codes or words gives: one for each byte, and two."""
     return (F.octet_length(F.coalesce(text, F.lit(""))) + 2).cast("long")
+
+
+def strict_ids(text: Column, codes: list[tuple[str, str]] = (), words: list[str] = ()) -> Column:
+    """One id for each character, which must have a shape code or be a direct token; any other is an error."""
+    table = single_ids(codes, words)
+    known = F.create_map(*[x for c in range(0x110000) if table[c] >= 0 for x in (F.lit(chr(c)), F.lit(int(table[c])))])
+    unknown = lambda c: F.raise_error(F.concat(F.lit("neither a shape code nor a direct token: "), c)).cast("int")
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(known, c), unknown(c)))

@@ -74,6 +74,10 @@ def pack(row: Column) -> Column:
     return F.when(fits, key).otherwise(F.raise_error(F.lit("an id after the first needs more than nine bits")))
 
 
+def is_letter_row(row: Column) -> Column:
+    return row[0].between(0, 25)
+
+
 #: Rows of an output vocabulary that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -88,6 +88,12 @@ def cross_entropy(logits: DataFrame, targets: DataFrame, ignore: int = -100) ->
     return per.agg(F.avg("loss").alias("loss"))
 
 
+def sampled_cross_entropy(logits: DataFrame, targets: DataFrame, sampled: DataFrame, ignore: int = -100) -> DataFrame:
+    """The same over ``sampled(output_id)`` and all targets only, the largest vocabulary being too wide to sum over."""
+    used = targets.where(F.col("target") != ignore).select(F.col("target").alias("output_id")).union(sampled.select("output_id")).distinct()
+    return cross_entropy(logits.join(used, "output_id", "left_semi"), targets, ignore)
+
+
 def target_index(targets: DataFrame) -> DataFrame:
     """(step, target, index): the place of each target among the distinct ones, from 0."""
     distinct = targets.select("target").distinct().withColumn("index", F.row_number().over(Window.orderBy("target")) - 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +124,20 @@ def per_source_first(docs: DataFrame, quota: DataFrame, order: str = "doc_id") -
     return ranked.join(quota, "source").where("rank < quota").drop("quota")
 
 
+
+
+def _whole(spark: SparkSession, path: str):
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, char, code) from a JSON object of codes by character, in its order."""
+    return spark.createDataFrame([(i, c, k) for i, (c, k) in enumerate(_whole(spark, path).items())], "ord int, char string, code string")
+
+
+def read_words(spark: SparkSession, path: str) -> list[str]:
+    """Words of the direct vocabulary from a JSON list; one that is there twice is an error."""
+    words = _whole(spark, path)
+    if len(set(words)) != len(words):
+        raise ValueError(f"{path} holds a word twice")
+    return words

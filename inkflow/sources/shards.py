@@ -48,10 +48,10 @@ def canonical(value):
     return json.loads(json.dumps(value, sort_keys=True, default=list))
 
 
-def write_shards(docs: DataFrame, path: str, per_shard: int, block: int = 256, source: dict | None = None, first_shard: int = 0, most: int | None = None) -> dict:
+def write_shards(docs: DataFrame, path: str, per_shard: int, block: int = 256, source: dict | None = None, first_shard: int = 0, most: int | None = None, max_rows: int | None = None) -> dict:
     """Writes ``docs(start, ids)`` below ``path`` as shard_id=N, all complete but the last, and its manifest.
 
-    A later call starts new shards at ``first_shard``; rows from ``most`` on are left out.
+    A later call starts new shards at ``first_shard``; rows from ``most`` on are left out. ``max_rows`` is noted, else ``most``.
     """
     spark = docs.sparkSession
     if most is not None:
@@ -60,7 +60,7 @@ def write_shards(docs: DataFrame, path: str, per_shard: int, block: int = 256, s
     s.repartition("shard_id").sortWithinPartitions("shard_id", "start").write.mode("append" if first_shard else "overwrite").partitionBy("shard_id").parquet(f"{path}/tokens")
     made = spark.read.parquet(f"{path}/tokens").groupBy("shard_id").agg(F.sum(F.size("ids")).cast("long").alias("rows")).orderBy("shard_id")
     shards = [{"shard_id": r["shard_id"], "rows": r["rows"]} for r in made.collect()]
-    manifest = {"format_version": FORMAT, "block_size": block, "rows_per_shard": per_shard, "max_rows": most, "rows_written": sum(x["rows"] for x in shards), "shards": shards, "source": canonical(source or {})}
+    manifest = {"format_version": FORMAT, "block_size": block, "rows_per_shard": per_shard, "max_rows": max_rows if max_rows is not None else most, "rows_written": sum(x["rows"] for x in shards), "shards": shards, "source": canonical(source or {})}
     write_json(spark, f"{path}/manifest.json", manifest)
     return manifest
 
