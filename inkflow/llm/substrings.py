@@ -21,7 +21,8 @@ from inkflow.llm.common import small_batches, table
 #: Sentences and words that a run holds at least. A longer sentence is cut where its own words say so.
 MIN_SENTENCES, MIN_WORDS, LONG, EVERY = 2, 16, 24, 8
 _END = re.compile(r"[.!?]+(?=\s)|\n|(?<=[。！？])")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\S+")
+_MARKS = " .!?,;:"
 
 
 def sentences(text: str) -> list[tuple[int, int, int, str]]:
@@ -29,22 +30,23 @@ def sentences(text: str) -> list[tuple[int, int, int, str]]:
 
     A sentence ends after marks before a blank, or with a line. One of more than LONG words is cut after each
     word whose hash says so, wherever it stands, so that a passage without marks falls into equal pieces too.
+    Folding is lower case, single blanks, and no marks at the ends.
     """
     out, at = [], 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         if end == at:
             continue
-        found = list(_WORD.finditer(text, at, end))
-        if len(found) <= LONG:
-            out.append((at, end, len(found), " ".join(m[0].lower() for m in found)))
+        words = text[at:end].lower().split()
+        if len(words) <= LONG:
+            out.append((at, end, len(words), " ".join(words).strip(_MARKS)))
         else:
-            start, own = at, []
-            for k, m in enumerate(found):
-                own.append(m[0].lower())
-                if k + 1 < len(found) and xxhash.xxh32_intdigest(own[-1]) % EVERY == 0:
-                    out.append((start, found[k + 1].start(), len(own), " ".join(own)))
-                    start, own = found[k + 1].start(), []
-            out.append((start, end, len(own), " ".join(own)))
+            starts, last = [m.start() for m in _WORD.finditer(text, at, end)], 0
+            if len(starts) != len(words):  # lower case may hold other blanks
+                starts = [at] * len(words)
+            cuts = [k + 1 for k, w in enumerate(words[:-1]) if xxhash.xxh32_intdigest(w.strip(_MARKS)) % EVERY == 0 and starts[k + 1] > at]
+            for k in [*cuts, len(words)]:
+                out.append((starts[last] if last else at, starts[k] if k < len(words) else end, k - last, " ".join(words[last:k]).strip(_MARKS)))
+                last = k
         at = end
     return out
 
@@ -52,6 +54,7 @@ def sentences(text: str) -> list[tuple[int, int, int, str]]:
 def runs(text: str) -> list[tuple[int, int, int]]:
     """(hash, start, end) of the run that starts at each sentence with words: MIN_SENTENCES or more, MIN_WORDS or more words."""
     s = [x for x in sentences(text) if x[2]]
+    digests = [xxhash.xxh64_digest(x[3]) for x in s]
     out, j, held = [], 0, 0
     for i, x in enumerate(s):
         while j < len(s) and (j - i < MIN_SENTENCES or held < MIN_WORDS):
@@ -59,7 +62,7 @@ def runs(text: str) -> list[tuple[int, int, int]]:
             j += 1
         if held < MIN_WORDS or j - i < MIN_SENTENCES:
             break
-        out.append((xxhash.xxh64_intdigest("\n".join(y[3] for y in s[i:j])), x[0], s[j - 1][1]))
+        out.append((xxhash.xxh64_intdigest(b"".join(digests[i:j])), x[0], s[j - 1][1]))
         held -= x[2]
     return out
 
