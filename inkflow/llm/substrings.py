@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import small_batches, table
+from inkflow.llm.common import cut, small_batches, table
 
 #: Sentences and words that a run holds at least. A longer sentence is cut where its own words say so.
 MIN_SENTENCES, MIN_WORDS, LONG, EVERY = 2, 16, 24, 8
@@ -68,35 +68,39 @@ def runs(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(run, doc_id, start, end) of all runs in the texts of ``docs(doc_id, text)``."""
+    """(run, doc_id, start, end, again) of all runs in the texts of ``docs(doc_id, text)``; again: the text had this run before."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            owner, found = [], []
+            owner, found, again = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                r = runs(t or "")
+                r, seen = runs(t or ""), set()
                 owner += [i] * len(r)
                 found += r
+                for h, _, _ in r:
+                    again.append(h in seen)
+                    seen.add(h)
             h = np.array([x[0] for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(owner, pa.int64())), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32())], ["run", "doc_id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(owner, pa.int64())), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()), pa.array(again, pa.bool_())], ["run", "doc_id", "start", "end", "again"])
 
     d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, f"run long, doc_id {d.schema['doc_id'].dataType.simpleString()}, start int, end int")
+    return d.mapInArrow(run, f"run long, doc_id {d.schema['doc_id'].dataType.simpleString()}, start int, end int, again boolean")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): what the non-first repeated runs of each document cover, merged and in order."""
     s = spans(docs)
-    first = s.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("run", "first")
-    later = s.join(first, "run").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))).select("doc_id", "start", "end")
+    # The repeated runs are cut off as a table of their own: a join of it with the spans can be split where one run is everywhere.
+    first = cut(s.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("run", "first"))
+    later = s.join(first.hint("shuffle_hash"), "run").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "start", "end")
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc, text, n_removed) per document: ``text`` without the sentences that a non-first repeated run covers.
 
-    The first of equal runs is that of the least doc_id (a null one comes before all), then the least place.
+    The first of equal runs is that of the least doc_id (a null one comes after all), then the least place.
     Null texts stay null; texts of less than a run stay as they are. Rows that repeat a doc_id share what is
     removed by place, so that repeated rows stay alike. Other columns pass through. An empty table gives an empty
     result.
