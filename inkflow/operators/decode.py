@@ -89,24 +89,30 @@ class Lexicon:
 
 
 def best_reading(items: list[str | list[str]], lexicon: Lexicon, beams: int = BEAMS, context: int = CONTEXT) -> list[str]:
-    """The tokens of the best beam. Equal scores keep their order; equal texts keep their best, the first of equals."""
-    held: list[tuple[tuple[int, ...], tuple[str, ...]]] = [((0,) * 8, ())]
+    """The tokens of the best beam; equal scores keep their order.
+
+    Candidates are single characters, so beams of one length never spell the same text. A beam is its score, the
+    characters before, and a chain of what it chose; what is certain is noted once and belongs to all.
+    """
+    held: list[tuple[tuple[int, ...], str, tuple | None]] = [((0,) * 8, "", None)]
+    certain: list[str] = []
     for item in items:
         singles = [item] if isinstance(item, str) else list(dict.fromkeys(c for c in item if len(c) == 1))
         if isinstance(item, str) or not singles:
-            held = [(s, (*t, item if isinstance(item, str) else item[0] if item else "")) for s, t in held]
+            certain.append(item if isinstance(item, str) else item[0] if item else "")
             continue
-        grown: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
-        for s, t in held:
-            single = [x for x in t if len(x) == 1]
-            before = "".join(single[-context:] if context > 0 else single)
-            for c in singles:
-                total = tuple(a + b for a, b in zip(s, lexicon.score(before, c)))
-                text = "".join((*t, c))
-                if text not in grown or total > grown[text][0]:
-                    grown[text] = (total, (*t, c))
-        held = sorted(grown.values(), key=lambda x: x[0], reverse=True)[:beams]
-    return list(held[0][1])
+        since = "".join(t for t in certain if len(t) == 1)
+        grown = []
+        for s, before, chain in held:
+            before += since
+            before = before[-context:] if context > 0 else before
+            grown += [(tuple(a + b for a, b in zip(s, lexicon.score(before, c))), before + c, (chain, certain, c)) for c in singles]
+        held, certain = sorted(grown, key=lambda x: x[0], reverse=True)[:beams], []
+    parts, chain = [certain], held[0][2]
+    while chain:
+        chain, sure, c = chain
+        parts.append([*sure, c])
+    return [t for p in reversed(parts) for t in p]
 
 
 def detokenizer(codes: list[tuple[str, str]], freq: dict[str, int], words: list[str] = (), bracketed: bool = False):
@@ -118,7 +124,15 @@ def detokenizer(codes: list[tuple[str, str]], freq: dict[str, int], words: list[
     readings = [*by_code.values()]
     held: list[Lexicon] = []
 
+    spelled = [t.encode() for t in direct]
+    spelled[101:357] = [bytes([i]) for i in range(256)]
+
     def one(ids: list[int]) -> str:
+        if not bracketed and max(ids, default=0) < len(spelled):
+            try:  # whole texts are UTF-8 exactly if each of their byte runs is
+                return b"".join(map(spelled.__getitem__, ids)).decode()
+            except UnicodeDecodeError:
+                pass
         items: list = []
         run = bytearray()
         for i in [*ids, None]:

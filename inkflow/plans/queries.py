@@ -64,7 +64,7 @@ n AS (SELECT count(*) AS n FROM toks)"""
 
 def id_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids): framed output ids of all documents."""
-    d = docs_of(spark, sf_dir).select("doc_id", "text")
+    d = readers.spread(docs_of(spark, sf_dir).select("doc_id", "text"))
     return d.select("doc_id", encode.framed(encode.encoder()(F.col("doc_id"), text.clean(F.col("text")))).alias("ids"))
 
 
@@ -518,7 +518,8 @@ def merge_bytes(spark, sf_dir):
 
 @query(f"SELECT doc_id, md5({CLEAN_SQL}) AS text_md5 FROM documents")
 def ascii_roundtrip(spark, sf_dir):
-    d = docs_of(spark, sf_dir).select("doc_id", encode.encoder()(F.col("doc_id"), text.clean(F.col("text"))).alias("ids"))
+    d = readers.spread(docs_of(spark, sf_dir).select("doc_id", "text"))
+    d = d.select("doc_id", encode.encoder()(F.col("doc_id"), text.clean(F.col("text"))).alias("ids"))
     return d.select("doc_id", F.md5(decode.detokenizer([], {})(F.col("ids"))).alias("text_md5"))
 
 

@@ -1,7 +1,7 @@
 """Global token positions and windows by count, without a global sort of tokens.
 
-Documents are the unit: each knows its ids and where it starts. Positions come from a prefix sum in two steps (runs
-of order keys, then inside a run), so that no task ever sees all documents. Windows are put together from the
+Documents are the unit: each knows its ids and where it starts. Positions come from a prefix sum in steps (over
+runs of runs, over runs of order keys, then inside a run), so that no task ever sees all documents. Windows are put together from the
 slices that documents lend them.
 """
 
@@ -11,21 +11,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = STRIDE = 256
-#: Consecutive order keys that one task sums up.
-RUN = 65_536
+#: Consecutive order keys that one task sums up, and consecutive sums in the next step.
+RUN, RUNS = 1024, 65_536
 
 
-def prefix_sum(df: DataFrame, order: str, value: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows before, by the integer column ``order``, for each ``by``."""
-    d = df.withColumns({"_run": F.floor(F.col(order) / RUN), "_value": value.cast("long")})
-    keys = [*by, "_run"]
-    sums = d.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*[F.col(k).alias(f"_b{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def _runs(order: str, run: int) -> Column:
+    return F.expr(f"(`{order}` - pmod(`{order}`, {run}L)) div {run}L")
+
+
+def _before(by: tuple[str, ...], order: str):
+    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _stepped(d: DataFrame, order: str, value: str, name: str, by: tuple[str, ...], runs: tuple[int, ...]) -> DataFrame:
+    """The sum of ``value`` before each row: directly, or inside runs on top of the same sum over runs."""
+    if not runs:
+        return d.withColumn(name, F.coalesce(F.sum(value).over(_before(by, order)), F.lit(0)))
+    step = f"_run{len(runs)}"
+    d, keys = d.withColumn(step, _runs(order, runs[0])), (*by, step)
+    sums = d.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    base = _stepped(sums, step, "_sum", "_base", by, runs[1:]).select(*[F.col(k).alias(f"_b{k}") for k in keys], "_base")
     joined = d.join(base, [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys])
-    total = F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0))
-    return joined.withColumn(name, total).select(*df.columns, name)
+    return joined.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(_before(keys, order)), F.lit(0)))
+
+
+def prefix_sum(df: DataFrame, order: str, value: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before, by the integer column ``order``, for each ``by``.
+
+    Runs of RUN keys are summed up, runs of RUNS of those sums again, and only what is left, a row for some 67
+    million keys, meets in one task.
+    """
+    return _stepped(df.withColumn("_value", value.cast("long")), order, "_value", name, by, (RUN, RUNS)).select(*df.columns, name)
 
 
 def windows(docs: DataFrame, block: int = BLOCK, stride: int = STRIDE, by: tuple[str, ...] = (), total: Column | None = None) -> DataFrame:
@@ -41,12 +57,15 @@ def windows(docs: DataFrame, block: int = BLOCK, stride: int = STRIDE, by: tuple
     last = F.floor(end / stride)
     if total is not None:
         last = F.least(last, F.floor((total - block - 1) / stride))
-    d = docs.withColumns({"_first": first.cast("long"), "_last": last.cast("long")}).where("_first <= _last")
-    k = d.select(*by, "start", "ids", size.alias("size"), F.explode(F.sequence("_first", "_last")).alias("window_id"))
-    low = F.greatest(F.col("window_id") * stride, F.col("start"))
-    high = F.least(F.col("window_id") * stride + block + 1, F.col("start") + F.col("size"))
-    part = F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
-    pieces = k.select(*by, "window_id", F.struct(F.col("start"), part.alias("part")).alias("piece"))
+    first, last = first.cast("long"), last.cast("long")
+
+    def piece(k):
+        low, high = F.greatest(k * stride, F.col("start")), F.least(k * stride + block + 1, F.col("start") + size)
+        return F.struct(k.alias("window_id"), F.struct(F.col("start"), F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("part")).alias("piece"))
+
+    # Slices are cut before the rows are multiplied, so that no window carries a whole document.
+    lent = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), piece))
+    pieces = docs.select(*by, F.explode(lent).alias("w")).select(*by, "w.window_id", "w.piece")
     whole = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["part"]))
     w = pieces.groupBy(*by, "window_id").agg(whole.alias("ids")).where(F.size("ids") == block + 1)
     return w.select(*by, "window_id", F.slice("ids", 1, block).alias("x"), F.slice("ids", 2, block).alias("target"))

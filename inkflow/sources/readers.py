@@ -38,6 +38,12 @@ def read_documents(spark: SparkSession, json_path: str | None = None, mix: list[
     return reader.json(path) if (files or path).endswith((".json", ".jsonl", ".json.gz")) else reader.parquet(path)
 
 
+def spread(docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """Dealt by id to all cores where the files make fewer parts than there are cores; else as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, order) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _chosen(source: str, mode: str) -> Column:
     if mode not in ("include", "exclude"):
         raise ValueError(f"mode {mode!r}: include or exclude")
