@@ -23,7 +23,7 @@ BLOCK_ROWS, BROADCAST_IDS = 4_000_000, 4_000_000
 #: Rows in a part of the tables of counts.
 PART_ROWS = 2_000_000
 #: Characters that a worker holds at once, characters of average text that are added to a document's own.
-CHARS, PRIOR_CHARS = 1 << 20, 50
+CHARS, PRIOR_CHARS = 1 << 18, 50
 #: The limit is the median plus this many times the distance from there to the upper quantile.
 UPPER, REACH = 0.99, 2.0
 

@@ -22,7 +22,7 @@ from inkflow.llm.common import components, cut, small_batches, table
 #: Fingerprints that a shard of the index aims to hold, the least and most shards, the queries of one task, the fan-out of the trees.
 SHARD, LEAST_SHARDS, SHARDS, QUERIES, FAN = 131_072, 64, 4096, 200_000, 16
 #: Pairs of query and node that are expanded at once.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 17
 SIGN = np.uint64(1 << 63)
 
 
