@@ -12,6 +12,7 @@ from inkflow.llm.decontaminate import clean_documents
 from inkflow.llm.mixing import mixed_documents
 from inkflow.llm.quality import good_documents
 from inkflow.llm.secrets import redact
+from inkflow.llm.shingles import shingle_groups
 from inkflow.llm.simhash import one_of_each_group
 
 
@@ -21,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the least doc_id."""
-    return one_of_each_group(docs)
+    """One document of each group stays, the one of the least doc_id; links are a Jaccard similarity of 0.8 of 5-word shingles."""
+    return one_of_each_group(docs, shingle_groups)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +44,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("simhash near-dedup", near_duplicates),
+    ("shingle near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
     ("source mixing", mixing),
 ]
 
-#: The perplexities and fingerprints of the first stages are no SQL; tests hold the pipeline against brute force.
+#: The perplexities and shingle groups of the first stages are no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 

@@ -198,12 +198,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, groups=simhash_groups) -> DataFrame:
     """The documents whose doc_id is their group's component_id, with their own columns; of rows that repeat that id, one.
 
-    Rows without a doc_id stay, as no decision can name them.
+    ``groups`` finds the groups. Rows without a doc_id stay, as no decision can name them.
     """
-    kept = simhash_groups(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).count()
+    kept = groups(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).count()
     kept = cut(kept)
     stays = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["_kept"], "left_semi")
     if not kept.where("count > 1").isEmpty():
