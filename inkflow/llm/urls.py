@@ -20,6 +20,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 MANY, LEVELS = 12, 6
 #: Pseudo-pages of the even prior, the share of blocked ones that rejects, and the z score up to which branches are alike.
 PRIOR, REJECT, ALIKE = 8.0, 0.9, 1.96
+#: Pages from which a branch is frequent: so many, all blocked, reach REJECT against the prior.
+RARE = 32
 WILD, REST = "*", "**"
 
 
@@ -63,15 +65,16 @@ def templates(shapes: DataFrame, many: int = MANY, levels: int = LEVELS) -> Data
             F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"),
             F.avg(F.size("segments") - level).alias("depth"), F.max(F.get("segments", F.lit(level + 1)).isNull()).alias("leaf"))
         siblings = Window.partitionBy(*node)
-        child = child.withColumns({"children": F.count(F.lit(1)).over(siblings), "most": F.max("n").over(siblings), "all_bad": F.sum("bad").over(siblings), "all": F.sum(F.col("bad") + F.col("good")).over(siblings)})
+        child = child.withColumns({"children": F.count(F.lit(1)).over(siblings), "all_bad": F.sum("bad").over(siblings), "all": F.sum(F.col("bad") + F.col("good")).over(siblings)})
         # Two-sample z score of a branch's blocked share against that of its siblings together; unlabelled branches differ from none.
         own, rest = F.col("bad") + F.col("good"), F.col("all") - F.col("bad") - F.col("good")
         pooled = (F.col("all_bad") + 1) / (F.col("all") + 2)
         z = F.abs((F.col("bad") + pooled) / (own + 1) - (F.col("all_bad") - F.col("bad") + pooled) / (rest + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (own + 1) + 1 / (rest + 1)))
-        variable = (F.col("children") > many) & (F.col("n") * 4 < F.greatest(F.col("most") * 4, F.lit(1)) + F.col("most"))
-        # Branches that are alike in labels and shape (both or neither labelled, same depth, leaf or not) form one class below the node.
+        # Frequent branches of a wide node stay: from RARE pages on, one could be rejected by itself.
+        variable = (F.col("children") > many) & (F.col("n") < RARE)
+        # Labelled branches that are alike in labels and shape (same depth, leaf or not) form one class below the node; without labels each stays.
         labelled = own > 0
-        merged = F.concat(F.lit("{"), F.when(labelled, F.lit("l")).otherwise(F.lit("u")), F.round("depth").cast("string"), F.when(F.col("leaf"), F.lit("$")).otherwise(F.lit("")), F.lit("}"))
+        merged = F.concat(F.lit("{l"), F.round("depth").cast("string"), F.when(F.col("leaf"), F.lit("$")).otherwise(F.lit("")), F.lit("}"))
         name = F.when(variable, F.lit(WILD)).when((F.col("children") > 1) & (z <= ALIKE) & labelled, merged).otherwise(F.col("segment"))
         named = child.select(*[F.col(k).alias(f"_{k}") for k in node], F.col("segment").alias("_segment"), name.alias("name"))
         t = t.join(named, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")) & (here == F.col("_segment")), "left")
