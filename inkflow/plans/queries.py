@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -701,20 +702,30 @@ def best_so_far(spark, sf_dir):
 TINY = model.Shape(width=16, layers=2, heads=4, shared=2, hidden=24, block=64)
 
 
+def whole_windows(d: DataFrame, block: int) -> DataFrame:
+    """``d(seq, ids)`` -> (seq(seq, window), ids): all ids in windows of ``block``; the last one holds the rest."""
+    w = d.where(F.size("ids") > 0).withColumn("window", F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / block).cast("int"))))
+    return w.select(F.struct("seq", "window").alias("seq"), F.slice("ids", F.col("window") * block + 1, F.lit(block)).alias("ids"))
+
+
 @query()
 def model_logits(spark, sf_dir):
-    """Logits after the first ids of every document, by a small model with random weights."""
+    """The id that follows each window of every document, by a small model with random weights."""
     outs = vocab.output_vocabulary(spark, codes_of(spark))
     w = model.initial(TINY, len(vocab.tokens()))
-    d = id_docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.slice("ids", 1, TINY.block).alias("ids"))
-    return sampling.pick(model.next_logits(d, outs, w, TINY), "greedy")
+    d = whole_windows(id_docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), "ids"), TINY.block)
+    new = sampling.pick(model.next_logits(d, outs, w, TINY), "greedy")
+    return new.select(F.col("step.seq").alias("step"), F.col("step.window").alias("window"), *[c for c in new.columns if c != "step"])
 
 
 @query()
 def generate_text(spark, sf_dir):
-    """Greedy continuations of the benchmark's prompts, with all filters."""
+    """Greedy continuations of the benchmark's whole prompts, with all filters; the block holds the longest one."""
     outs = vocab.output_vocabulary(spark)
     w = model.initial(TINY, len(vocab.tokens()))
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    prompts = b.select(F.col("item_id").alias("seq"), F.slice(encode.framed(encode.encoder()(F.col("item_id"), F.col("text"))), 1, 16).alias("ids"))
-    return model.generate(prompts, outs, w, TINY, most=4).select("seq", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    ids = encode.framed(encode.encoder()(F.col("item_id"), F.col("text")))
+    prompts = b.select(F.col("item_id").alias("seq"), ids.alias("ids")).select("seq", F.slice("ids", 1, F.size("ids") - 1).alias("ids"))  # no end mark
+    longest = prompts.agg(F.max(F.size("ids"))).first()[0] or 0
+    shape = replace(TINY, block=longest + 4)
+    return model.generate(prompts, outs, w, shape, most=4).select("seq", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
