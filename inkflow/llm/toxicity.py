@@ -1,75 +1,91 @@
 """Toxicity by weak supervision.
 
-Lexicon and pattern voters are induced from a bounded sample of labelled texts. A generative label model gives
-each voter its rates under either label, and the voters' correlations as a tree in which each voter also depends on
-one other; it is fitted by expectation maximisation on the votes alone. Its posterior labels train a linear
-classifier, which scores every whole text.
+Voters are induced from a bounded sample of labelled texts: lexicon voters (the text holds a word, or a word with a
+certain beginning, so that one voter speaks for a family of words) and pattern voters (its form). A voter says
+"toxic" or abstains. Chance is measured on shuffled labels: a feature votes only if it stands out more than any
+feature does there. A generative label model gives each voter its rates under either label, and the voters'
+correlations as a tree in which each voter also depends on one other; the given label is one more voter, of fixed
+reliability, which anchors the two classes. Its posterior labels train a linear classifier, which scores every whole text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkflow.llm.common import cut, small_batches, table
 
-#: Labelled rows that are sampled, features of the classifier, lexicon and pattern voters of each kind.
-SAMPLE, FEATURES, GROUPS = 20_000, 1024, 8
-#: How much likelier under label 1 a feature must be, and the least likelihood ratio (G squared) that says so.
-LIFT, SURE = 4.0, 20.0
-PREFIX = (4, 5, 6)
+#: Labelled rows that are sampled, features that are looked at, voters.
+SAMPLE, FEATURES, VOTERS = 20_000, 4096, 256
+#: How much likelier under label 1 a feature must be; shuffles of the labels; lengths of word beginnings.
+LIFT, SHUFFLES, PREFIX = 4.0, 3, (4, 5, 6, 7, 8)
+#: How far a given label is trusted by the label model.
+TRUST = 0.98
 WORD, UPPER, MARK = re.compile(r"[^\W\d_]+"), re.compile(r"[A-Z]"), re.compile(r"[^\w\s]")
 
 
-def features(text: str | None) -> set[str]:
-    """Words, word beginnings and patterns of form of the whole text."""
-    text = text or ""
-    words = set(WORD.findall(text.lower()))
-    return {f"w:{w}" for w in words} | {f"{n}:{w[:n]}" for w in words for n in PREFIX if len(w) > n} | form(text)
+def words_of(text: str | None) -> set[str]:
+    return set(WORD.findall((text or "").lower()))
 
 
-def form(text: str) -> set[str]:
+def features(words: set[str], marks: set[str]) -> set[str]:
+    """Words, word beginnings (of any word, and of two or more) and patterns of form."""
+    out = {f"w:{w}" for w in words} | marks
+    for n in PREFIX:
+        seen = Counter(w[:n] for w in words if len(w) > n)
+        out.update(f"{n}:{p}" for p in seen)
+        out.update(f"{n}x:{p}" for p, k in seen.items() if k > 1)
+    return out
+
+
+def form(text: str | None) -> set[str]:
     """Patterns of form: much upper case, many marks, shouting, and a short text."""
     if not text:
         return set()
     upper, marks = len(UPPER.findall(text)), len(MARK.findall(text))
-    return {f"form:upper{upper > 0.3 * len(text):d}", f"form:marks{marks > 0.1 * len(text):d}", f"form:shout{'!!' in text:d}", f"form:short{len(text) < 200:d}"}
+    seen = {"upper": upper > 0.3 * len(text), "marks": marks > 0.1 * len(text), "shout": "!!" in text, "short": len(text) < 200}
+    return {f"form:{k}" for k, v in seen.items() if v}
 
 
-def label_model(votes: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Posterior of label 1 for each row of 0/1 ``votes``.
+def label_model(votes: np.ndarray, given_labels: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
+    """Posterior of label 1 for each row of 0/1 ``votes`` (0: the voter abstains).
 
     P(votes | label) is a tree: each voter depends on the label and on the voter that its votes tell most about
     (the heaviest spanning tree of the conditional mutual information, found anew while the labels still move).
+    ``given_labels``: 0/1 labels that are right with probability TRUST, whatever the voters say; without them a row
+    with any vote is held to be 1 at first.
     """
     n, m = votes.shape
-    v = votes.astype(np.float64)
-    post = np.where(v.sum(axis=1) > 0, 0.9, 0.02)
+    v = votes.astype(np.float32)
+    told = np.zeros(n) if given_labels is None else np.where(given_labels > 0, 1, -1) * np.log(TRUST / (1 - TRUST))
+    post = np.where(v.sum(axis=1) > 0, 0.9, 0.02) if given_labels is None else 1 / (1 + np.exp(-told))
     for step in range(rounds):
         if step % 10 == 0:
             parent = _tree(v, post)
+            up = np.where(parent < 0, 0, parent)
+            given = np.where(parent < 0, 0, v[:, up]).astype(np.float32)
+            both = v * given
         before, pi = post, np.clip(post.mean(), 1e-3, 0.9)
-        logs = np.tile(np.log([1 - pi, pi]), (n, 1))
-        for j in range(m):
-            for y, w in ((0, 1 - post), (1, post)):
-                if parent[j] < 0:
-                    p = (w @ v[:, j] + 0.5) / (w.sum() + 1)
-                    p = np.full(n, p)
-                else:
-                    a = v[:, parent[j]]
-                    p1 = ((w * a) @ v[:, j] + 0.5) / ((w * a).sum() + 1)
-                    p0 = ((w * (1 - a)) @ v[:, j] + 0.5) / ((w * (1 - a)).sum() + 1)
-                    p = np.where(a > 0, p1, p0)
-                logs[:, y] += np.log(np.where(v[:, j] > 0, p, 1 - p))
-        post = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+        logs = np.empty((n, 2))
+        for y, w in ((0, 1 - post), (1, post)):
+            w32 = w.astype(np.float32)
+            total, held, own, joint = w.sum(), (w32 @ given).astype(np.float64), (w32 @ v).astype(np.float64), (w32 @ both).astype(np.float64)
+            p1, p0 = (joint + 0.5) / (held + 1), (own - joint + 0.5) / (total - held + 1)
+            l11, l10, l01, l00 = np.log(p1), np.log(1 - p1), np.log(p0), np.log(1 - p0)
+            # log P of each vote given its parent's, written as a constant and weights of the votes
+            logs[:, y] = np.log((1 - pi, pi)[y]) + l00.sum() + v @ (l01 - l00) + given @ (l10 - l00) + both @ (l11 - l10 - l01 + l00)
+        post = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1] - told, -500, 500)))
         if np.abs(post - before).max() < 1e-4:
             break
     # The label that goes with more votes is 1.
-    return post if (post @ v.sum(axis=1)) / max(post.sum(), 1e-9) >= ((1 - post) @ v.sum(axis=1)) / max((1 - post).sum(), 1e-9) else 1 - post
+    rate = lambda w: (w @ v.sum(axis=1)) / max(w.sum(), 1e-9)
+    return post if given_labels is not None or rate(post) >= rate(1 - post) else 1 - post
 
 
 def _tree(v: np.ndarray, post: np.ndarray) -> np.ndarray:
@@ -77,7 +93,7 @@ def _tree(v: np.ndarray, post: np.ndarray) -> np.ndarray:
     gain = np.zeros((m, m))
     for w in (1 - post, post):
         total = w.sum() + 1e-9
-        p11 = (v * w[:, None]).T @ v / total
+        p11 = ((v * w.astype(np.float32)[:, None]).T @ v).astype(np.float64) / total
         p1 = np.diag(p11)
         for a in (0, 1):
             for b in (0, 1):
@@ -110,71 +126,124 @@ def linear_classifier(rows: list[np.ndarray], width: int, y: np.ndarray, rounds:
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 67) -> tuple[dict[str, float], float]:
-    """Weights by feature, and the bias, from at most SAMPLE rows of ``labels(doc_id, toxic)`` and their texts."""
-    spark = docs.sparkSession
+def surprise(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """G squared of a feature that ``a`` of ``n1`` texts of label 1 and ``b`` of ``n0`` of label 0 hold; 0 if it is no likelier under 1."""
+    share = n1 / (n0 + n1)
+    held = a + b
+    g = 2 * (a * F.log((a + 0.01) / (held * share)) + b * F.log((b + 0.01) / (held * (1 - share))))
+    return F.when((a + 0.5) / (n1 + 1) > LIFT * (b + 0.5) / (n0 + 1), g).otherwise(0.0)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """(copy, words, marks, y, at) of the distinct texts of at most SAMPLE labelled rows; y is the label most copies have, at a seeded place."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("_id"), "toxic")
-    small_batches(spark)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
     def run(batches):
         for b in batches:
-            found = [sorted(features(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "found"])
+            out: list = [[], [], []]
+            for t in b.column(0).to_pylist():
+                words, marks = sorted(words_of(t)), sorted(form(t))
+                out[0].append(xxhash.xxh64_intdigest(" ".join([*words, "", *marks]).encode("utf-8", "replace")) - (1 << 63))
+                out[1].append(words)
+                out[2].append(marks)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.list_(pa.string())), b.column(1)], ["copy", "words", "marks", "toxic"])
 
     # Copies of a text count once, so that its own words don't pass for a lexicon.
-    seen = cut(texts.mapInArrow(run, "doc_id long, toxic int, found array<string>").withColumn("copy", F.xxhash64("found")).dropDuplicates(["copy"]))
-    n = dict(seen.groupBy("toxic").count().collect())
+    seen = texts.mapInArrow(run, "copy long, words array<string>, marks array<string>, toxic int").groupBy("copy")
+    seen = seen.agg(F.first("words").alias("words"), F.first("marks").alias("marks"), (F.avg("toxic") >= 0.5).cast("int").alias("y"))
+    return seen.withColumn("at", F.pmod(F.xxhash64("copy", F.lit(seed)), F.lit(1 << 30)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 67) -> tuple[dict[str, float], float]:
+    """Weights by feature, and the bias, from at most SAMPLE rows of ``labels(doc_id, toxic)`` and their texts."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    seen = cut(sampled(docs, labels, seed))
+    n = dict(seen.groupBy("y").count().collect())
     if not n.get(1) or not n.get(0):
         return {}, 4.0 if n.get(1) else -4.0
-    each = seen.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.count(F.when(F.col("toxic") == 0, 1)).alias("b"))
-    lift = F.log(((F.col("a") + 0.5) / (n[1] + 1)) / ((F.col("b") + 0.5) / (n[0] + 1)))
-    share = n[1] / (n[0] + n[1])
-    held = F.col("a") + F.col("b")
-    sure = 2 * (F.col("a") * F.log((F.col("a") + 0.01) / (held * share)) + F.col("b") * F.log((F.col("b") + 0.01) / (held * (1 - share))))
-    ranked = each.select("f", lift.alias("lift"), sure.alias("sure")).where((F.col("sure") > SURE) & (F.col("lift") > float(np.log(LIFT)))).orderBy(F.col("sure").desc(), "f").limit(FEATURES).collect()
-    names = [r["f"] for r in ranked]
-    at = {f: i for i, f in enumerate(names)}
-    chosen = spark.createDataFrame(list(at.items()), "f string, i int")
-    rows = seen.select("doc_id", F.explode("found").alias("f")).join(F.broadcast(chosen), "f").groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("x"))
-    held = [(np.array(r["x"], np.int64), r["toxic"]) for r in seen.join(rows, "doc_id", "left").orderBy("doc_id").select(F.coalesce("x", F.array().cast("array<int>")).alias("x"), "toxic").toLocalIterator()]
-    rows = [x for x, _ in held]
-    voters = _voters(list(enumerate(names)))
-    votes = np.zeros((len(rows), len(voters)), np.int8)
-    for i, r in enumerate(rows):
-        own = set(r.tolist())
-        votes[i] = [not own.isdisjoint(v) for v in voters]
-    post = label_model(votes) if voters else np.full(len(rows), n[1] / (n[0] + n[1]))
-    w, b = linear_classifier(rows, len(names), post)
-    b = -_threshold(np.array([w[r].sum() for r in rows]), np.array([y for _, y in held]))
-    return {f: float(x) for f, x in zip(names, w)}, float(b)
+    n1, n0 = n[1], n[0]
+    limit = int((1 << 30) * n1 / (n0 + n1))
+
+    def counted(batches):
+        """How many texts of the task hold each feature, under label 1, in all, and under label 1 of each shuffle."""
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for words, marks, y, at in zip(*(b.column(k).to_pylist() for k in ("words", "marks", "y", "at"))):
+                one = np.array([y, 1, *((at * m % (1 << 30)) < limit for m in (1, 5, 17)[:SHUFFLES])], np.int32)
+                for f in features(set(words), set(marks)):
+                    if f in total:
+                        total[f] += one
+                    else:
+                        total[f] = one.copy()
+        names, sums = list(total), np.array([*total.values()], np.int32).reshape(-1, 2 + SHUFFLES)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(sums[:, k]) for k in range(2 + SHUFFLES))], ["f", "a", "n", *(f"s{k}" for k in range(SHUFFLES))])
+
+    sums = ["a", "n", *(f"s{k}" for k in range(SHUFFLES))]
+    each = seen.mapInArrow(counted, "f string, " + ", ".join(f"{c} int" for c in sums)).groupBy("f").agg(*[F.sum(c).alias(c) for c in sums]).where("n > 2")
+    chance = [surprise(F.col(f"s{k}"), F.col("n") - F.col(f"s{k}"), n1, n0).alias(f"s{k}") for k in range(SHUFFLES)]
+    each = cut(each.select("f", surprise(F.col("a"), F.col("n") - F.col("a"), n1, n0).alias("sure"), F.greatest(*chance, F.lit(0.0)).alias("chance")))
+    least = each.agg(F.max("chance")).first()[0] or 0.0
+    ranked = each.where(F.col("sure") > least).orderBy(F.col("sure").desc(), F.length("f").desc(), "f").limit(FEATURES).collect()
+    at = {r["f"]: i for i, r in enumerate(ranked)}
+
+    def located(batches):
+        for b in batches:
+            found = [sorted(at[f] for f in features(set(w), set(m)) & at.keys()) for w, m in zip(b.column("words").to_pylist(), b.column("marks").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("copy"), b.column("y"), pa.array(found, pa.list_(pa.int32()))], ["copy", "y", "x"])
+
+    held = sorted((r["copy"], r["y"], r["x"]) for r in seen.mapInArrow(located, "copy long, y int, x array<int>").toLocalIterator())
+    y = np.array([r[1] for r in held])
+    x = np.zeros((len(held), len(at)), bool)
+    for i, r in enumerate(held):
+        x[i, r[2]] = True
+    chosen = voters_of([*at], x, y, least)
+    names, x = [[*at][k] for k in chosen], x[:, chosen]
+    if not names:
+        return {}, -4.0
+    post = label_model(x, y)
+    w, b = linear_classifier([np.flatnonzero(r) for r in x], len(names), post)
+    b = -_threshold((x @ w).astype(np.float64), y)
+    return {f: float(v) for f, v in zip(names, w)}, float(b)
+
+
+def voters_of(names: list[str], x: np.ndarray, y: np.ndarray, least: float) -> list[int]:
+    """Features that become voters, strongest first: of a family (one begins like the other) only what stands out where the stronger ones are silent."""
+    out: list[int] = []
+    for k, f in enumerate(names):
+        kind, own = f.split(":", 1)
+        family = [j for j in out if kind != "form" and not names[j].startswith("form:") and (own.startswith(names[j].split(":", 1)[1]) or names[j].split(":", 1)[1].startswith(own))]
+        rest = ~x[:, family].any(axis=1) if family else np.ones(len(y), bool)
+        a, n, n1, n0 = (x[rest, k] & (y[rest] > 0)).sum(), x[rest, k].sum(), (y[rest] > 0).sum(), (y[rest] == 0).sum()
+        if not a or not n0 or (a + 0.5) / (n1 + 1) <= LIFT * (n - a + 0.5) / (n0 + 1):
+            continue
+        share, b = n1 / (n1 + n0), n - a
+        if 2 * (a * np.log((a + 0.01) / (n * share)) + b * np.log((b + 0.01) / (n * (1 - share)))) > least:
+            out.append(k)
+            if len(out) == VOTERS:
+                break
+    return out
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """Between two scores of the sample, where the fewest of its labels are missed; of equal places the highest."""
+    """Between two scores of the sample, where precision and recall of its labels are best together (F1); of equal places the highest."""
     order = np.argsort(-z, kind="stable")
-    gain = np.cumsum(np.where(y[order] == 1, 1, -1))
+    right = np.cumsum(y[order] > 0)
     steps = np.flatnonzero(np.diff(z[order], append=-np.inf))
-    k = steps[gain[steps].argmax()]
-    return float(z[order[0]] + 1 if gain[k] <= 0 else (z[order[k]] + z[order[k + 1]]) / 2 if k + 1 < len(z) else z[order[k]] - 1)
-
-
-def _voters(strong: list[tuple[int, str]]) -> list[set[int]]:
-    """Voters of a kind of feature (words; beginnings of each length; form): its strong features dealt out in turn."""
-    out = []
-    for kind in sorted({f.split(":")[0] for _, f in strong}):
-        own = [i for i, f in strong if f.split(":")[0] == kind]
-        out += [set(own[k::GROUPS]) for k in range(min(GROUPS, len(own)))]
-    return out
+    f1 = 2 * right[steps] / (steps + 1 + right[-1])
+    k = steps[f1.argmax()]
+    return float((z[order[k]] + z[order[k + 1]]) / 2 if k + 1 < len(z) else z[order[k]] - 1)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score) per document: 0 to 1, higher where label 1 is likelier.
 
-    Null and empty texts have no features and get the score of that; repeated rows are scored one by one; labels
-    of null id or value are not used; without labels of both kinds all scores are alike. Other columns of
-    ``docs(doc_id, text)`` are not read.
+    Null and empty texts have no features and get the score of that; texts of any length are read whole; repeated
+    rows are scored one by one and count once in training, where copies of unlike labels take that of most (label 1
+    if equal); labels of null id or value are not used, and the highest of an id is; without labels of both kinds all
+    scores are alike. Other columns of ``docs(doc_id, text)`` are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     weights, bias = fit(docs, labels)
@@ -183,20 +252,21 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         weights = model.value
         words = {f[2:]: w for f, w in weights.items() if f.startswith("w:")}
-        starts = [(n, {f[2:]: w for f, w in weights.items() if f.startswith(f"{n}:")}) for n in PREFIX]
+        starts = {}
+        for n in PREFIX:
+            once, twice = ({f.split(":", 1)[1]: w for f, w in weights.items() if f.startswith(k)} for k in (f"{n}:", f"{n}x:"))
+            if once or twice:
+                starts[n] = once, twice, once.keys() | twice.keys()
         forms = {f: w for f, w in weights.items() if f.startswith("form:")}
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                s = bias
-                if t:
-                    own = set(WORD.findall(t.lower()))
-                    s += sum(words[w] for w in own & words.keys())
-                    for n, known in starts:
-                        s += sum(known[w] for w in {w[:n] for w in own if len(w) > n} & known.keys())
-                    if forms:
-                        s += sum(forms.get(f, 0.0) for f in form(t))
-                out.append(s)
+                own = words_of(t)
+                s = bias + sum(words[w] for w in sorted(own & words.keys()))
+                for n, (once, twice, known) in starts.items():
+                    for p, k in sorted(Counter(p for w in own if len(w) > n and (p := w[:n]) in known).items()):
+                        s += once.get(p, 0.0) + (twice.get(p, 0.0) if k > 1 else 0.0)
+                out.append(s + sum(forms.get(f, 0.0) for f in form(t)) if forms else s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -50, 50))))], ["doc_id", "score"])
 
     small_batches(spark)
