@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch for stages that read whole texts: long texts then fit a worker's memory.
 TEXT_ROWS = 256
+#: Rows of two numbers that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +22,23 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def text_hash(text: Column) -> Column:
+    """What a row's text is known by, beside its id; null is unlike the empty text."""
+    return F.xxhash64(text, text.isNull())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder that the session names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is taken.
+    Where that is unset, a temporary folder is taken on a single machine (a local master); a cluster raises an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkflow-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="inkflow-"))
     return df.checkpoint()
 
 

@@ -69,8 +69,8 @@ def test_gray_tree_and_links(spark):
     signed = lambda c: c - 2**64 if c >= 2**63 else c
     want = groups([(signed(a), signed(b)) for a in codes for b in codes if 0 < (a ^ b).bit_count() <= 2], [signed(c) for c in codes])
     d = spark.createDataFrame([(signed(c),) for c in codes], "fp long")
-    for shard, least in ((40, 1), (10**6, 1), (10**6, 64)):
-        got = {r["node"]: r["root"] for r in common.components(simhash.links(d, 2, shard, least)).collect()}
+    for shard, held in ((40, 10**6), (10**6, 10**6), (40, 16), (10**6, 100)):
+        got = {r["node"]: r["root"] for r in common.components(simhash.links(d, 2, shard, held)).collect()}
         assert {c: got.get(c, c) for c in want} == want
     ranks = simhash.gray_rank(np.array([i ^ i >> 1 for i in range(64)], np.uint64))
     assert ranks.tolist() == list(range(64))
