@@ -15,23 +15,26 @@ BUCKETS, LENGTHS, SMOOTH = 1 << 16, (1, 2, 3), 0.1
 CHARS, LANGUAGES = 1 << 20, 512
 
 
-def _letters() -> np.ndarray:
-    """For each 16-bit code: the lower-case letter, or a blank for what is no letter."""
-    out = np.full(1 << 16, 32, np.uint64)
-    for i in range(1 << 16):
-        c = chr(i)
-        if c.isalpha():
-            low = c.lower()
-            out[i] = ord(low) if len(low) == 1 else i
-    return out
+def _letter(i: int) -> int:
+    """The lower-case letter, or a blank for what is no letter."""
+    c = chr(i)
+    if not c.isalpha():
+        return 32
+    low = c.lower()
+    return ord(low) if len(low) == 1 else i
 
 
-_FOLD = _letters()
+_FOLD = np.array([_letter(i) for i in range(1 << 16)], np.uint64)
 
 
 def folded(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return np.where(c < 1 << 16, _FOLD[np.minimum(c, 0xFFFF)], c.astype(np.uint64))
+    out = _FOLD[np.minimum(c, 0xFFFF)]
+    high = np.flatnonzero(c > 0xFFFF)
+    if len(high):
+        known, at = np.unique(c[high], return_inverse=True)
+        out[high] = np.array([_letter(int(i)) for i in known], np.uint64)[at]
+    return out
 
 
 def buckets(c: np.ndarray, length: int) -> np.ndarray:
@@ -101,9 +104,10 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, learned: Column, kind: str = "long") -> DataFrame:
     """(doc_id, lang_pred, score) per document of ``docs(doc_id, text, lang)``; learns where ``learned`` holds.
 
-    Only rows with a lang are learned from. A null text, or one without any letter, is ``und`` with score 0, as
-    is every text if nothing could be learned. ``score`` is the posterior of the predicted language; of equal
-    languages the first by name wins. Repeated rows are predicted one by one; other columns are not read.
+    Only rows with a lang are learned from. A null text, or one without any letter (of any plane of Unicode), is ``und`` with
+    score 0, as is every text if nothing could be learned. ``score`` is the posterior of the predicted language; of equal
+    languages the first by name wins. Texts of any length are read whole, in stretches. Repeated rows are predicted one by
+    one; other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     languages, log_p, priors = train(docs.where(learned))
