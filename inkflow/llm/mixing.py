@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import cut, seeded, table
+from inkflow.llm.common import cut, seeded, table, text_hash
 
 #: Words in a block, documents in a shard, the seed, and the weights that sources take in turn.
 BLOCK, SHARD_DOCS, SEED, WEIGHTS = 16, 20_000, 67, (3, 1, 2)
@@ -65,15 +65,16 @@ def quotas(cells: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
 def mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, source, text_hash, size, source_size, target, taken.
 
-    Null and wordless texts have size 0 and are taken 0 times. A null source is a source of its own, the last
-    in order. Rows that repeat are documents of their own; ties of the seeded order are broken by id, size and
-    text, so reruns agree. Other columns are not read; an empty table gives an empty result.
+    Null and wordless texts have size 0 and are taken 0 times; texts of any length are read whole. A null source is a
+    source of its own, the last in order. The seeded place of a document follows from its doc_id and text, so rows that repeat or
+    lack a doc_id are dealt out like others; rows alike in both are documents of their own, next to each other. Ties are
+    broken by id, size and text, so reruns agree. Other columns are not read; an empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
+    key = seeded(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
+    sized = docs.select("doc_id", "source", text_hash(F.col("text")).alias("text_hash"), word_count(F.col("text")).alias("size"), key.alias("key"))
     sized = cut(sized)
     shards = max(1, -(-sized.count() // shard_docs))
-    key = seeded(seed, F.col("doc_id"))
-    sized = sized.withColumns({"key": key, "shard": F.pmod(key, F.lit(shards))})
+    sized = sized.withColumn("shard", F.pmod("key", F.lit(shards)))
     cells = cut(sized.groupBy("source", "shard").agg(F.sum("size").alias("words")))
     goal = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
     goal = cut(goal)
@@ -98,16 +99,18 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes words of, with their own columns, ``_target`` of their source and ``_taken``.
+    """The documents that the mix takes words of, with their own columns, ``target`` (their source's) and ``taken``.
 
-    Rows with equal doc_id, source and text share evenly, rounded down, what they take together.
+    Columns of these two names in ``docs`` are replaced by the mix's; all others pass through, whatever they are called. Rows with
+    equal doc_id, source and text share evenly, rounded down, what they take together. Null, empty and wordless texts are
+    not taken. An empty table gives an empty result.
     """
     keys = ("doc_id", "source", "text_hash")
-    plan = mix(docs).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("target").alias("_target"), F.expr("sum(taken) div count(1)").alias("_taken")).where("_taken > 0")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.xxhash64("text").alias("_hash"))
-    same = d["_doc"]["doc_id"].eqNullSafe(plan["_doc_id"]) & d["_doc"]["source"].eqNullSafe(plan["_source"]) & (d["_hash"] == plan["_text_hash"])
-    taken = d.join(plan.hint("shuffle_hash"), same)
-    return taken.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns], *[F.col(c) for c in ("_target", "_taken") if c not in docs.columns])
+    plan = mix(docs).groupBy(*keys).agg(F.max("target").alias("target"), F.expr("sum(taken) div count(1)").alias("taken")).where("taken > 0")
+    own = [c for c in docs.columns if c not in ("target", "taken")]
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), text_hash(F.col("text")).alias("_text"))
+    same = d["_doc"]["doc_id"].eqNullSafe(plan["doc_id"]) & d["_doc"]["source"].eqNullSafe(plan["source"]) & (d["_text"] == plan["text_hash"])
+    return d.join(plan.hint("shuffle_hash"), same).select(*[F.col(f"_doc.`{c}`").alias(c) for c in own], "target", "taken")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +121,7 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS key FROM documents),
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS key FROM documents),
 dealt AS (SELECT *, key % (SELECT greatest(1, (count(*) + {SHARD_DOCS - 1}) // {SHARD_DOCS}) FROM sized) AS shard FROM sized),
 cells AS (SELECT source, shard, sum(size)::BIGINT AS words FROM dealt GROUP BY ALL),
 sources AS (SELECT source, sum(words)::BIGINT AS source_size FROM cells GROUP BY ALL),
