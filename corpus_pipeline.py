@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the least doc_id; links are a Jaccard similarity of 0.8 of 5-word shingles."""
+    """One document of each group stays, the one of the least doc_id: SimHash groups of 5-word shingles, completed to similarity 0.8."""
     return one_of_each_group(docs, shingle_groups)
 
 
@@ -38,13 +38,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes nothing go; the others carry the target of their source and the words taken."""
-    mixed = mixed_documents(docs)
-    return mixed.withColumnsRenamed({"_target": "target", "_taken": "taken"})
+    return mixed_documents(docs)
 
 
 STAGES = [
     ("quality classifier", quality),
-    ("shingle near-dedup", near_duplicates),
+    ("simhash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
     ("source mixing", mixing),
