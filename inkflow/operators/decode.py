@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkflow.functions.text import CJK, utf8_runs
-from inkflow.functions.vocab import code_candidates, tokens
+from inkflow.functions.vocab import FIRST_BYTE, ROW, code_candidates, direct_row, tokens
 
 BEAMS, CONTEXT, UNRANKED, WORST = 4, 12, 3500, 20_000
 
@@ -31,6 +31,26 @@ def candidates_of_symbols(symbols: Column) -> Column:
     return F.array_join(letters, "")
 
 
+def candidates_of_code(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Adds candidates to ``rows(symbols, ..)``: the characters of the code that the symbols spell; one that no character has is an error."""
+    chars = code_candidates(codes).select(F.col("code").alias("_code"), F.col("chars").alias("_chars"))
+    found = rows.withColumn("_spelled", candidates_of_symbols(F.col("symbols"))).join(chars, F.col("_spelled") == F.col("_code"), "left")
+    missed = F.raise_error(F.concat(F.lit("no character has the code "), "_spelled")).cast("array<string>")
+    return found.withColumn("candidates", F.coalesce("_chars", missed)).drop("_spelled", "_code", "_chars")
+
+
+def rows_of_symbols(symbols: Column, words: list[str] = ()) -> Column:
+    """Rows of token ids of a list of symbols: five make one row, each of which has to be a token; of any other list the first one is
+    looked up, and is spelled in bytes, a row each, if it is no token."""
+    table = F.create_map(*[x for i, t in enumerate(tokens(list(words))) for x in (F.lit(t), F.lit(i))])
+    strict = lambda s: F.coalesce(F.try_element_at(table, s), F.raise_error(F.concat(F.lit("no token: "), s)).cast("int"))
+    first = F.get(symbols, F.lit(0))
+    spelled = F.regexp_extract_all(F.hex(F.encode(first, "utf-8")), F.lit("(..)"), F.lit(1))
+    of_bytes = F.transform(spelled, lambda h: direct_row(F.conv(h, 16, 10).cast("int") + FIRST_BYTE))
+    known = F.try_element_at(table, first)
+    return F.when(F.size(symbols) == ROW, F.array(F.transform(symbols, strict))).when(known.isNotNull(), F.array(direct_row(known))).otherwise(of_bytes)
+
+
 def symbols_of(text: Column, codes: dict[str, str]) -> Column:
     """For each character its five symbols, or itself."""
     table = F.create_map(*[x for c, code in codes.items() for x in (F.lit(c), F.array(*map(F.lit, ([f"cj_{y}" for y in code] + ["[PAD]"] * 5)[:5])))]) if codes else F.create_map().cast("map<string,array<string>>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkflow.functions import encode, text, vocab
 from inkflow.operators import decode, model, numeric, sampling, wordfreq
-from inkflow.plans import sequence
+from inkflow.plans import jobs, sequence
 from inkflow.sources import mix, readers, shards
 from inkflow.streaming import windows as streaming
 
@@ -86,8 +86,11 @@ def joined(c: str) -> F.Column:
 
 def scratch(spark: SparkSession) -> str:
     """A folder of its own in the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkflow-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='inkflow-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- text
@@ -222,23 +225,42 @@ def symbol_encode(spark, sf_dir):
     return d.select("given", F.array_join(spelled, "|").alias("spelled"))
 
 
-CJK_TEXT = [(1, "我明abc日", "363,359,69,70,71,357"), (2, "是", "331,253,276"), (3, "🥰\n", "341,260,266,277,99"), (4, "\x01", "102")]
+@query(f"""WITH f AS (SELECT doc_id, substr(coalesce(text, ''), 1, 1) AS c FROM documents WHERE coalesce(text, '') <> ''),
+r AS (SELECT doc_id, CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN [unicode(c) - 2] WHEN c = chr(10) THEN [125] WHEN c = chr(9) THEN [126] ELSE list_transform(regexp_extract_all(hex(c), '..'), lambda h: ('0x' || h)::INTEGER + 127) END AS t FROM f)
+SELECT doc_id, array_to_string(list_transform(t, lambda i: i || ',26,26,26,26'), ';') AS rows FROM r UNION ALL SELECT -1, '0,1,26,26,26'""")
+def symbol_rows(spark, sf_dir):
+    """The first character of each document as a list of one symbol, and a code of five."""
+    first = docs_of(spark, sf_dir).where(F.coalesce("text", F.lit("")) != "").select("doc_id", F.array(F.substring("text", 1, 1)).alias("symbols"))
+    d = first.union(spark.createDataFrame([(-1, ["cj_a", "cj_b", "[PAD]", "[PAD]", "[PAD]"])], "doc_id long, symbols array<string>"))
+    return d.select("doc_id", F.array_join(F.transform(decode.rows_of_symbols(F.col("symbols")), lambda r: F.array_join(r.cast("array<string>"), ",")), ";").alias("rows"))
 
 
-@query(f"SELECT id, ids FROM {values(CJK_TEXT, 'id, given, ids')}".replace("363,", "362,"))
+@query(f"SELECT char, string_agg(other, '|' ORDER BY o) AS candidates FROM (SELECT a.char, b.char AS other, b.ord AS o FROM (SELECT * FROM {CODES_SQL}) a JOIN (SELECT * FROM {CODES_SQL}) b ON a.code = b.code) GROUP BY char")
+def symbol_candidates(spark, sf_dir):
+    """Every character of the code table, spelled as symbols and looked up again."""
+    table = {c: code for _, c, code in MINI_CODES}
+    d = codes_of(spark).select("char", decode.symbols_of(F.col("char"), table)[0].alias("symbols"))
+    return decode.candidates_of_code(d, codes_of(spark)).select("char", F.array_join("candidates", "|").alias("candidates"))
+
+
+CJK_TEXT = [(1, "我明abc日", "362,359,69,70,71,357"), (2, "是", "331,253,276"), (3, "🥰\n", "341,260,266,277,99"), (4, "\x01", "102")]
+
+
+@query(f"SELECT id, ids FROM {values(CJK_TEXT, 'id, given, ids')}")
 def shape_code_ids(spark, sf_dir):
     e = encode.encoder([(c, code) for _, c, code in MINI_CODES], freq=dict(MINI_DICT))
     return spark.createDataFrame(CJK_TEXT, "id int, given string, want string").select("id", F.array_join(e(F.col("id").cast("string"), F.col("given")).cast("array<string>"), ",").alias("ids"))
 
 
-KEPT = [(1, "明日", 0.0, "359,357"), (2, "明日", 1.0, "357")]
+#: A word of the vocabulary whose coin never or always keeps it whole, and its ids.
+KEPT = [(1, 0.0, "360,358"), (2, 1.0, "357")]
 
 
-@query(f"SELECT id, ids FROM {values([(1, '360,358'), (2, '357')], 'id, ids')}")
+@query(f"SELECT id, ids FROM {values(KEPT, 'id, keep, ids')}")
 def word_tokens(spark, sf_dir):
     """A word of the vocabulary as characters, and whole."""
     out = None
-    for i, _, keep, _ in KEPT:
+    for i, keep, _ in KEPT:
         e = encode.encoder([(c, code) for _, c, code in MINI_CODES], ["明日"], dict(MINI_DICT), keep)
         d = spark.createDataFrame([(i, "明日")], "id int, given string").select("id", F.array_join(e(F.col("id").cast("string"), F.col("given")).cast("array<string>"), ",").alias("ids"))
         out = d if out is None else out.union(d)
@@ -317,11 +339,11 @@ def windows_sharded(spark, sf_dir):
     return window_digests(sequence.windows(sequence.sharded(placed(spark, sf_dir), PER_SHARD), by=("shard_id",)), "shard_id")
 
 
-@query(f"{SHARD_SQL} SELECT i AS window_index, shard_id, i - first_window AS local_index FROM (SELECT unnest(range(0, (SELECT sum(windows) FROM man)::BIGINT, 7)) AS i), man WHERE i >= first_window AND i < first_window + windows")
+@query(f"{SHARD_SQL} SELECT i AS window_index, shard_id, i - first_window AS local_index FROM (SELECT unnest(range(0, (SELECT sum(windows) FROM man)::BIGINT)) AS i), man WHERE i >= first_window AND i < first_window + windows")
 def window_locate(spark, sf_dir):
     m = sequence.manifest(placed(spark, sf_dir), PER_SHARD)
     n = m.agg(F.sum("windows")).first()[0] or 0
-    return sequence.locate(spark.range(0, n, 7).select(F.col("id").alias("window_index")), m)
+    return sequence.locate(spark.range(n).select(F.col("id").alias("window_index")), m)
 
 
 @query(f"{SHARD_SQL} SELECT shard_id, rows, shard_id >= (SELECT count(*) FROM man) - least(4, (SELECT count(*) FROM man) - 1) AS validation FROM man")
@@ -375,15 +397,43 @@ def shards_round_trip(spark, sf_dir):
 ORACLES["shards_round_trip"] = ORACLES["windows_sharded"] + " AND shard_id >= 1"
 
 
-@query(windows_sql(256, 256))
+CUT = 250_000
+
+
+@query(f"""WITH {IDS_SQL},
+whole AS (SELECT pos, id, CASE WHEN pos < {CUT} THEN pos // {PER_SHARD} ELSE {-(-CUT // PER_SHARD)} + (pos - {CUT}) // {PER_SHARD} END AS shard_id FROM toks)
+SELECT shard_id, count(*) AS rows, md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS ids_md5 FROM whole GROUP BY shard_id""")
+def shards_resume(spark, sf_dir):
+    """A run that is capped, one that is interrupted before its manifest, and one that goes on to the end."""
+    path, d = scratch(spark), docs_of(spark, sf_dir)
+    jobs.build_shards(d, path, PER_SHARD, most=CUT)
+    held = shards.read_json(spark, f"{path}/manifest.json")
+    jobs.build_shards(d, path, PER_SHARD, most=CUT + PER_SHARD)
+    shards.write_json(spark, f"{path}/manifest.json", held)  # as if the second run had ended before it noted its shards
+    jobs.build_shards(d, path, PER_SHARD)
+    t = spark.read.parquet(f"{path}/tokens").groupBy("shard_id").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("t"))
+    ids = F.flatten(F.transform("t", lambda x: x["ids"]))
+    return t.select(F.col("shard_id").cast("long"), F.size(ids).cast("long").alias("rows"), joined(ids).alias("ids_md5"))
+
+
+STREAM_SHARDS = 16
+
+
+@query(f"""WITH {IDS_SQL.split('placed AS')[0]}
+placed AS (SELECT doc_id, doc_id % {STREAM_SHARDS} AS shard, ids, (sum(len(ids)) OVER (PARTITION BY doc_id % {STREAM_SHARDS} ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - len(ids))::BIGINT AS start FROM ids),
+toks AS (SELECT shard, unnest(ids) AS id, start + generate_subscripts(ids, 1) - 1 AS pos FROM placed),
+w AS (SELECT shard, k AS window_id, list(id ORDER BY pos) AS a FROM (SELECT shard, pos, id, unnest(CASE WHEN pos % 256 = 0 AND pos > 0 THEN [pos // 256 - 1, pos // 256] ELSE [pos // 256] END) AS k FROM toks) GROUP BY ALL)
+SELECT shard::INTEGER AS shard, window_id, md5(array_to_string(a[1:256], ',')) AS x_md5, md5(array_to_string(a[2:257], ',')) AS target_md5 FROM w WHERE len(a) = 257""")
 def stream_windows(spark, sf_dir):
-    """The batch windows from a stream; documents come in the order of their ids, one shard."""
+    """Windows from a stream of documents that are dealt to shards by id and come in the order of their ids, some files in a micro-batch."""
     source, path = scratch(spark), scratch(spark)
-    d = docs_of(spark, sf_dir).select("doc_id", "text")
-    d.write.parquet(source)
-    out = streaming.stream_windows(streaming.read_stream(spark, source, "doc_id long, text string", 100_000))
+    d = readers.numbered(docs_of(spark, sf_dir).select("doc_id", "text"))
+    files = max(1, -(-d.count() // 5000))
+    for k in range(files):  # files in the order of their ids, as they would arrive
+        d.where(F.floor(F.col("pos") / 5000) == k).drop("pos").coalesce(1).write.mode("append").parquet(source)
+    out = streaming.stream_windows(streaming.read_stream(spark, source, "doc_id long, text string", 1), shards=STREAM_SHARDS)
     streaming.stream_to_parquet(out, f"{path}/out", f"{path}/checkpoint")
-    return window_digests(spark.read.schema("shard int, window_id long, x array<int>, target array<int>").parquet(f"{path}/out"))
+    return window_digests(spark.read.schema("shard int, window_id long, x array<int>, target array<int>").parquet(f"{path}/out"), "shard")
 
 
 # ---------------------------------------------------------------- sources and mixes
@@ -662,13 +712,18 @@ def rotary(spark, sf_dir):
     return e.select("vec_id", numeric.rotary(F.col("embedding"), F.col("vec_id") % 256).alias("v")).select("vec_id", F.round(weighed(F.col("v")), 6).alias("checksum"))
 
 
-@query("WITH q AS (SELECT vec_id AS output_id, embedding AS w FROM embeddings WHERE vec_id < 8) SELECT vec_id, output_id, round(list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i]::DOUBLE * embedding[i]::DOUBLE)), 6) AS logit FROM embeddings, q")
+@query("WITH q AS (SELECT vec_id AS output_id, embedding AS w FROM embeddings WHERE vec_id % 100 = 0) SELECT vec_id, output_id, round(list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i]::DOUBLE * embedding[i]::DOUBLE)), 6) AS logit FROM embeddings, q")
 def dot_logits(spark, sf_dir):
-    """Every vector against a stated set of eight output rows."""
+    """Every vector against the output rows, those whose id 100 divides, in blocks of 64."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    rows = e.where("vec_id < 8").collect()
-    held = F.array(*[F.struct(F.lit(r["vec_id"]).cast("long").alias("output_id"), F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("w")) for r in rows])
-    return e.select("vec_id", "embedding", F.explode(held).alias("o")).select("vec_id", "o.output_id", F.round(numeric.dot(F.col("embedding"), F.col("o.w")), 6).alias("logit"))
+    asked = readers.numbered(e.where("vec_id % 100 = 0"), "vec_id").withColumn("block", F.floor(F.col("pos") / 64))
+    out = None
+    for k in range(asked.agg(F.max("block")).first()[0] + 1 if not asked.isEmpty() else 0):
+        rows = asked.where(F.col("block") == k).collect()
+        held = F.array(*[F.struct(F.lit(r["vec_id"]).cast("long").alias("output_id"), F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("w")) for r in rows])
+        part = e.select("vec_id", "embedding", F.explode(held).alias("o")).select("vec_id", "o.output_id", F.round(numeric.dot(F.col("embedding"), F.col("o.w")), 6).alias("logit"))
+        out = part if out is None else out.union(part)
+    return out if out is not None else e.select("vec_id", F.col("vec_id").alias("output_id"), F.lit(0.0).alias("logit")).limit(0)
 
 
 @query(f"WITH {LOGITS_SQL}, t AS (SELECT vec_id AS step, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE (label * 3)::INTEGER END AS target FROM embeddings), l AS (SELECT step, ln(sum(exp(logit))) - max(logit) FILTER (output_id = target) AS loss FROM logits JOIN t USING (step) WHERE target <> -100 GROUP BY step) SELECT round(avg(loss), 6) AS loss FROM l")

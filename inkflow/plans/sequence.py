@@ -1,7 +1,7 @@
 """Global token positions and windows by count, without a global sort of tokens.
 
-Documents are the unit: each knows its ids and where it starts. Positions come from a prefix sum in steps (over
-runs of runs, over runs of order keys, then inside a run), so that no task ever sees all documents. Windows are put together from the
+Documents are the unit: each knows its ids and where it starts. Positions come from a prefix sum in two steps (over
+ranges of order keys, then inside a range), so that no task ever sees all documents. Windows are put together from the
 slices that documents lend them.
 """
 
@@ -11,37 +11,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = STRIDE = 256
-#: Consecutive order keys that one task sums up, and consecutive sums in the next step.
-RUN, RUNS = 1024, 65_536
-
-
-def _runs(order: str, run: int) -> Column:
-    return F.expr(f"(`{order}` - pmod(`{order}`, {run}L)) div {run}L")
+#: Ranges of equal width that the order keys are cut into, whatever lies between the least and the greatest.
+RANGES = 4096
 
 
 def _before(by: tuple[str, ...], order: str):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _stepped(d: DataFrame, order: str, value: str, name: str, by: tuple[str, ...], runs: tuple[int, ...]) -> DataFrame:
-    """The sum of ``value`` before each row: directly, or inside runs on top of the same sum over runs."""
-    if not runs:
-        return d.withColumn(name, F.coalesce(F.sum(value).over(_before(by, order)), F.lit(0)))
-    step = f"_run{len(runs)}"
-    d, keys = d.withColumn(step, _runs(order, runs[0])), (*by, step)
-    sums = d.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    base = _stepped(sums, step, "_sum", "_base", by, runs[1:]).select(*[F.col(k).alias(f"_b{k}") for k in keys], "_base")
-    joined = d.join(base, [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys])
-    return joined.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(_before(keys, order)), F.lit(0)))
-
-
 def prefix_sum(df: DataFrame, order: str, value: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows before, by the integer column ``order``, for each ``by``.
 
-    Runs of RUN keys are summed up, runs of RUNS of those sums again, and only what is left, a row for some 67
-    million keys, meets in one task.
+    The keys are cut into RANGES ranges between the least and the greatest, so that dense ids, sparse ones and hashes
+    of 64 bits are spread alike; only one sum for each range (and ``by``) meets in one task. Rows without a key come first.
     """
-    return _stepped(df.withColumn("_value", value.cast("long")), order, "_value", name, by, (RUN, RUNS)).select(*df.columns, name)
+    low, high = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
+    low, width = low or 0.0, max(1.0, ((high or 0.0) - (low or 0.0)) / RANGES)
+    d = df.withColumns({"_value": value.cast("long"), "_range": F.coalesce(F.floor((F.col(order).cast("double") - low) / width), F.lit(-1)).cast("long")})
+    keys = (*by, "_range")
+    sums = d.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
+    base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(_before(by, "_range")), F.lit(0))).select(*[F.col(k).alias(f"_b{k}") for k in keys], "_base")
+    joined = d.join(base, [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys])
+    inside = F.coalesce(F.sum("_value").over(_before(keys, order)), F.lit(0))
+    return joined.withColumn(name, F.col("_base") + inside).select(*df.columns, name)
 
 
 def windows(docs: DataFrame, block: int = BLOCK, stride: int = STRIDE, by: tuple[str, ...] = (), total: Column | None = None) -> DataFrame:

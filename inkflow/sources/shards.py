@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,18 @@ def _file(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Written beside, then renamed: a reader finds the old value or the new one."""
+    """Written beside, then renamed over the old file in one step: a reader finds the old value or the new one."""
     fs, p = _file(spark, path)
-    _, beside = _file(spark, path + ".tmp")
+    _, beside = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(beside, True)
     out.write(bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(beside, p)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    to = fs.makeQualified(p)
+    hadoop.FileContext.getFileContext(to.toUri(), fs.getConf()).rename(fs.makeQualified(beside), to, over)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -52,11 +57,13 @@ def write_shards(docs: DataFrame, path: str, per_shard: int, block: int = 256, s
     """Writes ``docs(start, ids)`` below ``path`` as shard_id=N, all complete but the last, and its manifest.
 
     A later call starts new shards at ``first_shard``; rows from ``most`` on are left out. ``max_rows`` is noted, else ``most``.
+    Shards from ``first_shard`` on that an interrupted call left behind, which no manifest names, are removed first.
     """
     spark = docs.sparkSession
     if most is not None:
         docs = docs.where(F.col("start") < most).withColumn("ids", F.slice("ids", 1, F.least(F.size("ids").cast("long"), F.lit(most) - F.col("start")).cast("int")))
     s = sharded(docs, per_shard).withColumn("shard_id", F.col("shard_id") + first_shard)
+    drop_shards(spark, path, first_shard)
     s.repartition("shard_id").sortWithinPartitions("shard_id", "start").write.mode("append" if first_shard else "overwrite").partitionBy("shard_id").parquet(f"{path}/tokens")
     made = spark.read.parquet(f"{path}/tokens").groupBy("shard_id").agg(F.sum(F.size("ids")).cast("long").alias("rows")).orderBy("shard_id")
     shards = [{"shard_id": r["shard_id"], "rows": r["rows"]} for r in made.collect()]
@@ -65,6 +72,15 @@ def write_shards(docs: DataFrame, path: str, per_shard: int, block: int = 256, s
     return manifest
 
 
+def drop_shards(spark: SparkSession, path: str, first: int) -> None:
+    """Removes the folders of the shards from ``first`` on."""
+    fs, p = _file(spark, f"{path}/tokens")
+    for x in fs.listStatus(p) if fs.exists(p) else ():
+        kind, _, number = x.getPath().getName().partition("=")
+        if kind == "shard_id" and int(number) >= first:
+            fs.delete(x.getPath(), True)
+
+
 def resume(spark: SparkSession, path: str, per_shard: int, block: int = 256, source: dict | None = None) -> dict | None:
     """The manifest of an earlier run, or None; one of another format, block, shard size or source is an error."""
     m = read_json(spark, f"{path}/manifest.json")
@@ -89,19 +105,27 @@ def read_shards(spark: SparkSession, path: str, first: int = 0, stop: int | None
 
 
 def write_cache(docs: DataFrame, path: str, meta: dict) -> None:
-    """``docs(start, ids)`` as a cache with what it was made from."""
+    """``docs(start, ids)`` as a cache with what it was made from and the number of its ids."""
     docs.write.mode("overwrite").parquet(f"{path}/data")
-    write_json(docs.sparkSession, f"{path}/meta.json", canonical(meta))
+    spark = docs.sparkSession
+    rows = spark.read.parquet(f"{path}/data").agg(F.sum(F.size("ids")).cast("long")).first()[0] or 0
+    write_json(spark, f"{path}/meta.json", {"made_from": canonical(meta), "rows": rows})
 
 
 def read_cache(spark: SparkSession, path: str, meta: dict, split: str | None = None) -> DataFrame | None:
-    """The cache if it was made from the same; one without meta counts for no split and for train only."""
+    """The cache if it was made from the same; one without meta counts for no split and for train only.
+
+    A cache that is incomplete, or of another length than was noted, is none.
+    """
     fs, data = _file(spark, f"{path}/data/_SUCCESS")
     if not fs.exists(data):
         return None
-    held = read_json(spark, f"{path}/meta.json")
-    fresh = held == canonical(meta) if held is not None else split in (None, "train")
-    return spark.read.parquet(f"{path}/data") if fresh else None
+    held, cache = read_json(spark, f"{path}/meta.json"), spark.read.parquet(f"{path}/data")
+    if held is None:
+        return cache if split in (None, "train") else None
+    if held["made_from"] != canonical(meta) or held["rows"] != (cache.agg(F.sum(F.size("ids"))).first()[0] or 0):
+        return None
+    return cache
 
 
 def write_vocabulary(spark: SparkSession, path: str, words: list[str]) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkflow.functions import encode, vocab
-from inkflow.operators import sampling
+from inkflow.operators import decode, sampling
 from inkflow.plans import jobs, sequence
 from inkflow.sources import readers, shards
 from inkflow.streaming import windows as streaming
@@ -36,6 +36,55 @@ def test_shards_go_on_where_they_stopped(spark, tmp_path):
     assert train.count() + held.count() == sum((s["rows"] - 17) // 16 + 1 for s in shards.read_json(spark, f"{whole}/manifest.json")["shards"])
 
 
+def test_shards_survive_a_crash(spark, tmp_path):
+    """Shards that no manifest names are written anew, whatever an interrupted run left there; no reader ever misses the manifest."""
+    d, path = docs(spark), str(tmp_path / "s")
+    jobs.build_shards(d, path, 300, block=16, most=600, codes=CODES)
+    held = shards.read_json(spark, f"{path}/manifest.json")
+    jobs.build_shards(d, path, 300, block=16, codes=CODES)
+    whole = shards.read_json(spark, f"{path}/manifest.json")
+    shards.write_json(spark, f"{path}/manifest.json", held)  # the second run ended before its manifest
+    again = jobs.build_shards(d, path, 300, block=16, most=900, codes=CODES)
+    assert [s["rows"] for s in again["shards"]] == [300, 300, 300] and again["rows_written"] == 900
+    assert spark.read.parquet(f"{path}/tokens").select("shard_id").distinct().count() == 3
+    last = jobs.build_shards(d, path, 300, block=16, codes=CODES)
+    assert last["shards"] == whole["shards"] and not [p for p in (tmp_path / "s").iterdir() if p.suffix == ".tmp"]
+    ids = [i for r in spark.read.parquet(f"{path}/tokens").orderBy("shard_id", "start").collect() for i in r["ids"]]
+    assert ids == [i for r in jobs.placed(d, CODES).orderBy("start").collect() for i in r["ids"]]
+
+
+def test_a_cache_of_another_length_is_none(spark, tmp_path):
+    path, meta = str(tmp_path / "c"), {"block": 16, "files": ("a", "b")}
+    shards.write_cache(jobs.placed(docs(spark)).select("start", "ids"), path, meta)
+    assert shards.read_cache(spark, path, meta) is not None and shards.read_cache(spark, path, {"block": 8}) is None
+    held = shards.read_json(spark, f"{path}/meta.json")
+    shards.write_json(spark, f"{path}/meta.json", held | {"rows": held["rows"] + 1})
+    assert shards.read_cache(spark, path, meta) is None
+
+
+@pytest.mark.parametrize("key", ["id", "xxhash64(id)", "id * 1000003 - 7", "if(id % 2 = 0, id, id + 9000000000000000000)", "cast(1 as long)"])
+def test_prefix_sums_of_any_keys(spark, key):
+    d = spark.range(3000).select(F.expr(key).alias("k"), (F.col("id") % 7).alias("v"), (F.col("id") % 3).alias("g"))
+    got = sequence.prefix_sum(d, "k", F.col("v"), "s", by=("g",)).collect()
+    rows, want = sorted((r["g"], r["k"]) for r in got), {}
+    for g in range(3):
+        total = 0
+        for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["k"], r["s"])):
+            assert r["s"] == total
+            total += r["v"]
+        want[g] = total
+    assert len(rows) == 3000 and sum(want.values()) == sum(i % 7 for i in range(3000))
+
+
+def test_symbols_that_no_character_has(spark):
+    d = spark.createDataFrame([(["cj_z", "cj_z", "[PAD]", "[PAD]", "[PAD]"],)], "symbols array<string>")
+    codes = spark.createDataFrame([(0, "日", "a")], "ord int, char string, code string")
+    with pytest.raises(Exception, match="no character has the code zz"):
+        decode.candidates_of_code(d, codes).collect()
+    with pytest.raises(Exception, match="no token"):
+        d.select(decode.rows_of_symbols(F.array(*[F.lit("nothing")] * 5))).collect()
+
+
 def test_vocabulary_from_sources(spark):
     d = spark.createDataFrame([(1, "明日明日林木", "a"), (2, "林木１２", "b"), (3, "明日", "c")], "doc_id long, text string, source string")
     got = jobs.build_vocabulary(d, {"a": 1.0, "b": 1.0}, {"明日": 5, "林木": 5}).collect()
