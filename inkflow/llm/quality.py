@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import cut, small_batches, table, union_all
+from inkflow.llm.common import BROADCAST_KEYS, cut, small_batches, table, union_all
 
 #: N-gram order; 16 bits a character, so that an n-gram is one 64-bit integer.
 ORDER = 4
@@ -123,8 +123,8 @@ def counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(top: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
-    """((k, gram, own, context), log weight of any character): additive log weights from ``top(gram, n)``, the counts of the highest order.
+def kneser_ney(top: DataFrame, order: int = ORDER) -> tuple[DataFrame, float, float]:
+    """((k, gram, own, context), log weight of any character, of the start of a text): additive log weights from ``top(gram, n)``, the counts of the highest order.
 
     Lower orders count distinct left neighbours. Discounts of counts 1, 2 and 3 or more come from the numbers of
     n-grams with counts 1 to 4 of each order. ``own`` is log P(gram) less what its context and its shorter form
@@ -136,7 +136,7 @@ def kneser_ney(top: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     for k in range(order - 1, 0, -1):
         levels[k] = cut(levels[k + 1].groupBy(F.col("gram").bitwiseAND((1 << 16 * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
     symbols = levels[1].count() + 1
-    gammas, base = {}, 0.0
+    gammas, base, start = {}, 0.0, 0.0
     for k in range(1, order + 1):
         n1, n2, n3, n4 = levels[k].agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)]).first()
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -153,6 +153,8 @@ def kneser_ney(top: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
         else:
             level = level.withColumns({"context": F.shiftrightunsigned("gram", 16).cast("long"), "shorter": F.col("gram").bitwiseAND((1 << 16 * (k - 1)) - 1)})
             gammas[k] = cut(level.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("discount") / F.sum("c")).alias("gamma")))
+            padding = gammas[k].where(F.col("context") == sum(2 << 16 * i for i in range(k - 1))).first()
+            start += float(np.log(padding["gamma"])) if padding else 0.0
             p = level.join(gammas[k], "context").join(levels[k - 1].select(F.col("gram").alias("shorter"), F.col("p").alias("p0")), "shorter")
             p = p.select("gram", ((F.col("c") - F.col("discount")) / F.col("total")).alias("alpha"), (F.col("gamma") * F.col("p0")).alias("rest"))
         levels[k] = cut(p.select(F.lit(k).alias("k"), "gram", (F.col("alpha") + F.col("rest")).alias("p"), (F.log(F.col("alpha") + F.col("rest")) - F.log("rest")).alias("own")))
@@ -161,10 +163,10 @@ def kneser_ney(top: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
         w = levels[k]
         w = w.join(gammas[k + 1].select(F.col("context").alias("gram"), F.log("gamma").alias("context")), "gram", "left") if k < order else w.withColumn("context", F.lit(0.0))
         weights.append(w.select("k", "gram", F.col("own").cast("float"), F.coalesce("context", F.lit(0.0)).cast("float").alias("context")))
-    return cut(union_all(weights)), base
+    return cut(union_all(weights)), base, start
 
 
-def scored(docs: DataFrame, weights: DataFrame, base: float, order: int = ORDER, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def scored(docs: DataFrame, weights: DataFrame, base: float, start: float, order: int = ORDER, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc, n_tokens, log_p): the characters of each text and their log probability, over all blocks of the table."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -184,6 +186,7 @@ def scored(docs: DataFrame, weights: DataFrame, base: float, order: int = ORDER,
                 n, log_p = b.column(1).to_numpy().copy(), b.column(2).to_numpy().copy()
                 if first:
                     n += np.array([len(t or "") for t in texts], np.int64)
+                    log_p += np.where(n > 0, start, 0.0)
                 group, owners, size = [], [], 0
 
                 def flush():
@@ -230,23 +233,23 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Trusted texts are those that ``labels`` calls of quality 1. Perplexity is per character, with PRIOR_CHARS
     characters of the language's median added, so that a few odd characters do not condemn a short text.
     A language without trusted documents takes the limit of all together. Null and empty texts have no
-    characters and are rejected; without any trusted text all others are kept, with null figures. Repeated rows
-    are judged one by one; a null lang is a language of its own. Other columns pass through, whatever their names.
+    characters and are rejected; without any trusted text all others are kept, with null figures. Texts of any length are read
+    whole; a perplexity equal to the limit is kept. Repeated rows are judged one by one; a null lang is a language of its
+    own. Other columns pass through, whatever their names. An empty table gives an empty result.
     """
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
     ids = cut(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     small_batches(docs.sparkSession)
     trusted = docs.select("doc_id", "text", "lang").where("text <> ''").join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
-    weights, base = kneser_ney(counts(trusted))
+    model = kneser_ney(counts(trusted))
     rate = -F.col("log_p") / F.col("n_tokens")
-    seen = cut(scored(trusted, weights, base).select(_language(F.col("doc.lang")).alias("lang"), rate.alias("rate")))
+    seen = cut(scored(trusted, *model).select(_language(F.col("doc.lang")).alias("lang"), rate.alias("rate")))
     q = [F.percentile_approx("rate", 0.5, 100_000).alias("mid"), F.percentile_approx("rate", UPPER, 100_000).alias("high")]
-    limits = {r["lang"]: (r["mid"], r["high"]) for r in seen.groupBy("lang").agg(*q).collect()}  # one row per language
+    limit = cut(seen.groupBy(F.col("lang").alias("language")).agg(*q))
+    limit = F.broadcast(limit) if limit.count() <= BROADCAST_KEYS else limit
     whole = seen.agg(*q).first()
-    out = scored(docs, weights, base).withColumn("language", _language(F.col("doc.lang")))
-    spark = docs.sparkSession
-    limit = F.broadcast(spark.createDataFrame([(k, *v) for k, v in limits.items()], "language string, mid double, high double"))
+    out = scored(docs, *model).withColumn("language", _language(F.col("doc.lang")))
     out = out.join(limit, "language", "left").withColumns({"mid": F.coalesce("mid", F.lit(whole["mid"])), "high": F.coalesce("high", F.lit(whole["high"]))})
     shrunk = (PRIOR_CHARS * F.col("mid") - F.col("log_p")) / (PRIOR_CHARS + F.col("n_tokens"))
     most = F.col("mid") + REACH * (F.col("high") - F.col("mid"))
@@ -255,7 +258,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+    """The documents that ``judged`` keeps, with their own columns: no null or empty text; rows that repeat, or share or lack a
+    doc_id, are judged one by one by their text; an empty table gives an empty result."""
     return judged(docs, labels).where("keep").select("doc.*")
 
 
