@@ -35,10 +35,15 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
 
 
+def nearest(x: np.ndarray, y: np.ndarray, rows: int = 512) -> np.ndarray:
+    """The nearest of ``y`` to each of ``x``, some rows at a time, so that no whole matrix of distances is held."""
+    return np.concatenate([np.zeros(0, np.int64), *(_distances(x[k : k + rows], y).argmin(axis=1) for k in range(0, len(x), rows))])
+
+
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centers = x[rng.permutation(len(x))[: min(k, len(x))]].copy()
     for _ in range(rounds):
-        own = _distances(x, centers).argmin(axis=1)
+        own = nearest(x, centers)
         n = np.bincount(own, minlength=len(centers))
         sums = np.zeros_like(centers)
         np.add.at(sums, own, x)
@@ -53,14 +58,14 @@ class Quantiser:
         rng = np.random.default_rng(seed)
         self.centers = kmeans(sample, lists, rng)
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        residual = sample - self.centers[_distances(sample, self.centers).argmin(axis=1)]
+        residual = sample - self.centers[nearest(sample, self.centers)]
         self.books = [kmeans(residual[:, p], CODES, rng) for p in self.parts]
         some = sample[:2000]
         side = rng.standard_normal(some.shape)
         side -= (side * some).sum(axis=1, keepdims=True) * some
         moved = limit * some + np.sqrt(1 - limit * limit) * side / np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
         d = _distances(some, self.centers)
-        home = _distances(moved, self.centers).argmin(axis=1)
+        home = nearest(moved, self.centers)
         rank = (d < d[np.arange(len(d)), home][:, None]).sum(axis=1)
         self.probes = int(np.quantile(rank, SUFFICIENT, method="higher")) + 1
 
@@ -76,7 +81,8 @@ class Quantiser:
 
     def near(self, v: np.ndarray) -> np.ndarray:
         """The lists to probe, nearest first; the first is the vector's own."""
-        return np.argsort(_distances(v, self.centers), axis=1, kind="stable")[:, : self.probes]
+        each = [np.argsort(_distances(v[k : k + 512], self.centers), axis=1, kind="stable")[:, : self.probes] for k in range(0, len(v), 512)]
+        return np.concatenate([np.zeros((0, self.probes), np.int64), *each])
 
     def search(self, queries: np.ndarray, at: int, members: np.ndarray, codes: np.ndarray, error: np.ndarray, limit: float, rows: int = 256):
         """Yields (query, member) index arrays with cosine >= ``limit`` among the members of list ``at``."""
@@ -148,7 +154,7 @@ def links(classes: DataFrame, limit: float, probes: int | None = None) -> tuple[
         quantiser = Quantiser(sample, int(max(1, min(LISTS, round((n / 64) ** 0.5)))), limit)
         quantiser.probes = probes or quantiser.probes
         sent = spark.sparkContext.broadcast(quantiser)
-        small_batches(spark, 4096)
+        small_batches(spark)
 
         def routed(batches, sent=sent, dim=dim):
             for b in batches:
