@@ -4,13 +4,16 @@ A window (item-sized, ``window`` words at most) is a set of shingles. Containmen
 one shingle suffices: the window's rarest over all documents. Documents are joined on these prefix shingles
 only; a match fixes the place of the window in the document, which bounds it on both sides (position and
 length), and the words there are compared one by one.
+
+The index of a block of items is a few sorted arrays of numbers beside the items' words, some ten bytes for each
+character of a block's items, which every task searches.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,36 +29,127 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def windows(ws: list[bytes], size: int) -> list[tuple[bytes, ...]]:
-    return [tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))] if ws else []
+class Hashes(dict):
+    """Number of a word, kept while there are not too many of them."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
-def shingles(ws, width: int):
-    return zip(*(ws[k:] for k in range(width)))
+    def of(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
-def _prefixes(owners: dict, rarity: Counter, width: int) -> dict:
-    """By shingle width: the rarest shingle of each window -> [(its offset, the window)]. Windows with a shingle that no document has are left out."""
-    out: dict = defaultdict(lambda: defaultdict(list))
-    for w in owners:
-        k = min(width, len(w))
-        df, shingle, at = min((rarity[s], s, i) for i, s in enumerate(shingles(w, k)))
-        if df:
-            out[k][shingle].append((at, w))
-    return {k: dict(v) for k, v in out.items()}
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """The number of the shingle of ``width`` words that begins at each word; equal shingles have equal numbers."""
+    n = max(0, len(h) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
 
 
-def _hits(ws: list[bytes], prefixes: dict, owners: dict) -> tuple[list[tuple[int, int]], set[str]]:
-    spans, items = [], set()
-    for k, posts in prefixes.items():
-        if posts.keys().isdisjoint(shingles(ws, k)):
-            continue
-        for i, s in enumerate(shingles(ws, k)):
-            for at, w in posts.get(s, ()):
-                a = i - at
-                if a >= 0 and a + len(w) <= len(ws) and tuple(ws[a : a + len(w)]) == w:
-                    spans.append((a, a + len(w)))
-                    items.update(owners[w])
+def held(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Place of each of ``found`` in the ascending ``keys``, -1 if it is not there."""
+    if not len(keys):
+        return np.full(len(found), -1)
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    return np.where(keys[at] == found, at, -1)
+
+
+class Windows:
+    """The windows of a block of items: words one after the other, and where the windows begin and how many words they have."""
+
+    def __init__(self, items, size: int, width: int):
+        known, hashes, text, sizes, starts, lengths, owners, names = Hashes(), [], [], [], [], [], [], []
+        place = 0
+        for name, t in items:
+            ws = words(t)
+            if not ws:
+                continue
+            n = max(1, len(ws) - size + 1)
+            starts.append(np.arange(place, place + n))
+            lengths.append(np.full(n, min(size, len(ws)), np.int16))
+            owners.append(np.full(n, len(names), np.int32))
+            names.append(name)
+            hashes.append(known.of(ws))
+            sizes.append(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
+            text.append(b" ".join(ws) + b" ")
+            place += len(ws)
+        join = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
+        self.names, self.text, self.width = names, b"".join(text), width
+        self.hashes, self.begin = join(hashes, np.uint64), np.concatenate([[0], np.cumsum(join(sizes, np.int64))])
+        start, length, owner = join(starts, np.int64), join(lengths, np.int16), join(owners, np.int32)
+        self._distinct(start, length, owner)
+        #: By width: the shingles that windows hold, ascending.
+        self.known = {}
+        for k in sorted({min(width, int(n)) for n in np.unique(self.length)}):
+            own = np.minimum(self.length, width) == k
+            at = np.unique(np.concatenate([self.start[own & (self.length == n)][:, None] + np.arange(int(n) - k + 1) for n in np.unique(self.length[own])], axis=None))
+            self.known[k] = np.unique(shingles(self.hashes, k)[at])
+
+    def spelled(self, start: int, length: int) -> bytes:
+        return self.text[self.begin[start] : self.begin[start + length] - 1]
+
+    def _distinct(self, start, length, owner):
+        """Equal windows once, with the items of each."""
+        whole = np.zeros(len(start), np.uint64)
+        for n in np.unique(length):
+            whole[length == n] = shingles(self.hashes, int(n))[start[length == n]] + np.uint64(n)
+        order = np.argsort(whole, kind="stable")
+        start, length, owner, whole = start[order], length[order], owner[order], whole[order]
+        lead = np.ones(len(start), bool)
+        lead[1:] = whole[1:] != whole[:-1]
+        at = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
+        for i in np.flatnonzero(~lead):  # numbers may be equal by chance: then the words differ, and so do the windows
+            j = at[i]
+            if length[i] != length[j] or self.spelled(start[i], length[i]) != self.spelled(start[j], length[j]):
+                lead[i], at[i] = True, i
+        number = np.cumsum(lead) - 1
+        self.start, self.length = start[lead], length[lead]
+        pairs = np.unique(np.stack([number[at], owner.astype(np.int64)], axis=1), axis=0)
+        self.items, self.first = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(lead.sum() + 1))
+
+    def index(self, counts: dict[int, np.ndarray]) -> dict[int, tuple]:
+        """By width: (prefix shingles ascending, offset in the window, window). A window with a shingle that no document has is left out."""
+        out = {}
+        for k, keys in self.known.items():
+            order = np.lexsort((keys, counts[k]))
+            rank = np.empty(len(keys), np.int64)
+            rank[order] = np.arange(len(keys))
+            s = shingles(self.hashes, k)
+            parts: list = []
+            for n in np.unique(self.length[np.minimum(self.length, self.width) == k]):
+                own = np.flatnonzero(self.length == n)
+                for c in range(0, len(own), 1 << 17):
+                    w = own[c : c + (1 << 17)]
+                    all_ = held(keys, s[self.start[w][:, None] + np.arange(int(n) - k + 1)].ravel()).reshape(len(w), -1)
+                    best = rank[all_].argmin(axis=1)
+                    key = all_[np.arange(len(w)), best]
+                    there = counts[k][key] > 0
+                    parts.append((keys[key[there]], best[there].astype(np.int16), w[there]))
+            key, offset, window = (np.concatenate([x[i] for x in parts]) for i in range(3))
+            at = np.argsort(key, kind="stable")
+            out[k] = key[at], offset[at], window[at]
+        return out
+
+
+def _hits(ws: list[bytes], h: np.ndarray, index: dict, windows: Windows) -> tuple[list[tuple[int, int]], set[str]]:
+    spans, items, seen = [], set(), set()
+    for k, (keys, offsets, owned) in index.items():
+        s = shingles(h, k)
+        for i in np.flatnonzero(held(keys, s) >= 0):
+            for j in range(np.searchsorted(keys, s[i]), np.searchsorted(keys, s[i], side="right")):
+                w = owned[j]
+                a, n = int(i - offsets[j]), int(windows.length[w])
+                if a >= 0 and a + n <= len(ws) and b" ".join(ws[a : a + n]) == windows.spelled(windows.start[w], n):
+                    spans.append((a, a + n))
+                    if w not in seen:
+                        seen.add(w)
+                        items.update(windows.names[x] for x in windows.items[windows.first[w] : windows.first[w + 1]])
     return spans, items
 
 
@@ -73,9 +167,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, width
     """(doc, n_words, spans, items) per document: ``doc`` holds the document's own columns, whatever their names.
 
     ``spans`` are the hit word ranges (end exclusive, merged, in order), ``items`` the ids as sorted strings.
-    Null and wordless texts have no words and no hits. A null item_id counts as an item of its own, written
-    "null"; rows that repeat an item_id are one item. Repeated documents are judged one by one. An empty
-    benchmark hits nothing, an empty table gives an empty result.
+    Null and wordless texts have no words and no hits; texts of any length are read whole. A null item_id counts as an item of its
+    own, written "null"; rows that repeat an item_id are one item; of equally rare shingles any may be the prefix, with the
+    same result. Repeated documents are judged one by one. An empty benchmark hits nothing, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -85,38 +179,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, width
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
     for block in range(blocks):
-        owners: dict = defaultdict(set)
-        for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator():
-            for w in windows(words(r["text"]), window):
-                owners[w].add(r["item"])
-        known: dict = defaultdict(dict)
-        for w in owners:
-            for s in shingles(w, min(width, len(w))):
-                known[len(s)].setdefault(s, len(known[len(s)]))
-        sent = spark.sparkContext.broadcast({k: dict(v) for k, v in known.items()})
+        own = Windows(((r["item"], r["text"]) for r in bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).toLocalIterator()), window, width)
+        sent = spark.sparkContext.broadcast(own.known)
 
         def counted(batches, sent=sent):
-            seen = Counter()
+            number, seen = Hashes(), {k: np.zeros(len(v), np.int64) for k, v in sent.value.items()}
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    ws = words(t)
-                    for k, ids in sent.value.items():
-                        seen.update((k, ids[s]) for s in ids.keys() & set(shingles(ws, k))) if not ids.keys().isdisjoint(shingles(ws, k)) else None
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([i for _, i in seen], pa.int64()), pa.array([*seen.values()], pa.int64())], ["k", "id", "n"])
+                    h = number.of(words(t))
+                    for k, keys in sent.value.items():
+                        at = held(keys, shingles(h, k))
+                        seen[k][np.unique(at[at >= 0])] += 1
+            for k, n in seen.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(n[at])], ["k", "id", "n"])
 
         # One row at most per shingle of this block's items.
-        rows = docs.select("text").mapInArrow(counted, "k int, id long, n long").groupBy("k", "id").agg(F.sum("n").alias("n")).collect() if owners else []
-        spelled = {k: list(v) for k, v in known.items()}
-        rarity = Counter({spelled[r["k"]][r["id"]]: r["n"] for r in rows})
-        index = spark.sparkContext.broadcast((_prefixes(owners, rarity, width), {w: sorted(v) for w, v in owners.items()}))
+        counts = {k: np.zeros(len(v), np.int64) for k, v in own.known.items()}
+        if counts:
+            t = docs.select("text").mapInArrow(counted, "k int, id long, n long").groupBy("k", "id").agg(F.sum("n").alias("n")).toArrow()
+            k, i, n = (t.column(c).to_numpy() for c in ("k", "id", "n"))
+            for x in counts:
+                counts[x][i[k == x]] = n[k == x]
+        index = spark.sparkContext.broadcast((own.index(counts), own))
 
         def matched(batches, index=index):
-            prefixes, own = index.value
+            number, (prefixes, own) = Hashes(), index.value
             for b in batches:
                 new: list = [[], [], []]
                 for t, spans, items in zip(b.column(0).field("text").to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                     ws = words(t)
-                    more, found = _hits(ws, prefixes, own)
+                    more, found = _hits(ws, number.of(ws), prefixes, own)
                     new[0].append(len(ws))
                     new[1].append([{"a": x, "b": y} for x, y in _union([*((s["a"], s["b"]) for s in spans), *more])])
                     new[2].append(sorted({*items, *found}))
@@ -130,7 +223,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, width
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with their own columns."""
+    """The documents without any occurrence of a benchmark window, with their own columns.
+
+    Null, empty and wordless texts stay; rows that repeat, or share a doc_id, are judged one by one; ids are not looked at. An
+    empty table gives an empty result, an empty benchmark keeps all.
+    """
     return contamination(docs, benchmark).where(F.size("spans") == 0).select("doc.*")
 
 
