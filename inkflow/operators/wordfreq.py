@@ -12,8 +12,11 @@ TOP, COMMON_CHARS, COMMON_WORDS = 1000, 3500, 20_000
 
 def word_counts(words: DataFrame) -> DataFrame:
     """``words(source_ord, doc_id, words)`` -> (word, n, first): vocabulary words, how often and where first."""
-    w = words.select("source_ord", "doc_id", F.posexplode("words").alias("place", "word")).withColumn("word", F.trim("word"))
-    return w.where(is_vocabulary_word(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source_ord", "doc_id", "place")).alias("first"))
+    placed = F.transform("words", lambda w, i: F.struct(i.alias("place"), F.trim(w).alias("word")))
+    # Most words are none of the vocabulary: they go before rows are made of them.
+    kept = F.filter(placed, lambda x: is_vocabulary_word(x["word"]))
+    w = words.select("source_ord", "doc_id", F.explode(kept).alias("w")).select("source_ord", "doc_id", "w.place", "w.word")
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source_ord", "doc_id", "place")).alias("first"))
 
 
 def top_words(counts: DataFrame, k: int = TOP) -> DataFrame:
