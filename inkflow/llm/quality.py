@@ -4,7 +4,7 @@ Tasks count the n-grams of their trusted texts; the counts of all tasks are summ
 one order are joined with their contexts and with the order below, each sharded by its key. A log probability
 is written as a sum of weights of the n-grams that end at a position, so documents are scored against one bounded
 block of the table after the other and the sums add up, whatever size the table has. A document is rejected if
-its perplexity exceeds a limit set by quantiles of its own language's trusted documents.
+its perplexity exceeds a limit set by quantiles of its own language's trusted documents, each under a model that has not seen it.
 """
 
 from __future__ import annotations
@@ -230,7 +230,9 @@ def _language(c: Column) -> Column:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc, language, n_tokens, perplexity, most, keep) per document of ``docs(doc_id, text, lang, ..)``.
 
-    Trusted texts are those that ``labels`` calls of quality 1. Perplexity is per character, with PRIOR_CHARS
+    Trusted texts are those that ``labels`` calls of quality 1. Limits are quantiles of their perplexities under the model of the
+    other half of them (halves by a hash of the text, so copies stay together), since a text that was learned from looks too
+    good; with texts in one half only, they come from the texts that were learned from. Perplexity is per character, with PRIOR_CHARS
     characters of the language's median added, so that a few odd characters do not condemn a short text.
     A language without trusted documents takes the limit of all together. Null and empty texts have no
     characters and are rejected; without any trusted text all others are kept, with null figures. Texts of any length are read
@@ -242,9 +244,15 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     small_batches(docs.sparkSession)
     trusted = docs.select("doc_id", "text", "lang").where("text <> ''").join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
-    model = kneser_ney(counts(trusted))
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    parts = [cut(counts(trusted.where(half == k))) for k in (0, 1)]
+    model = kneser_ney(parts[0].union(parts[1]).groupBy("gram").agg(F.sum("n").alias("n")))
     rate = -F.col("log_p") / F.col("n_tokens")
-    seen = cut(scored(trusted, *model).select(_language(F.col("doc.lang")).alias("lang"), rate.alias("rate")))
+    if any(p.isEmpty() for p in parts):
+        seen = scored(trusted, *model)
+    else:
+        seen = union_all([scored(trusted.where(half == k), *kneser_ney(parts[1 - k])) for k in (0, 1)])
+    seen = cut(seen.select(_language(F.col("doc.lang")).alias("lang"), rate.alias("rate")))
     q = [F.percentile_approx("rate", 0.5, 100_000).alias("mid"), F.percentile_approx("rate", UPPER, 100_000).alias("high")]
     limit = cut(seen.groupBy(F.col("lang").alias("language")).agg(*q))
     limit = F.broadcast(limit) if limit.count() <= BROADCAST_KEYS else limit
