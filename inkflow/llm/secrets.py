@@ -14,7 +14,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import table
+from inkflow.llm.common import BROADCAST_KEYS, cut, table, text_hash
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,8 @@ RULES = (
     Rule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
 )
 MASK = "[SECRET]"
+#: Matches of a text that one fold goes over; a text with more is taken in pieces of so many.
+PIECE = 512
 
 
 def trigram_query(regex: str, most: int = 256) -> list[frozenset[str]] | None:
@@ -85,30 +87,41 @@ def _walk(items, paths, most):
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index: (trigram, doc_id) for each of ``trigrams`` in each lower-cased text."""
-    lowered = docs.select("doc_id", F.lower("text").alias("text"))
+    """The inverted index: (trigram, doc_id, text_hash) for each of ``trigrams`` in each lower-cased text."""
+    lowered = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.lower("text").alias("text"))
     held = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return lowered.select(F.explode(held).alias("trigram"), "doc_id")
+    return lowered.select(F.explode(held).alias("trigram"), "doc_id", "text_hash")
 
 
 def candidates(index: DataFrame, trigrams: list[str], rules: list[tuple[str, list[frozenset[str]]]]) -> DataFrame:
-    """(doc_id, one Boolean per rule): the intersected postings, united over a rule's alternatives."""
+    """(doc_id, text_hash, one Boolean per rule): the intersected postings, united over a rule's alternatives."""
     at = {t: i for i, t in enumerate(trigrams)}
-    held = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
+    held = index.groupBy("doc_id", "text_hash").agg(F.collect_set("trigram").alias("held"))
 
     def one(need: frozenset[str]) -> Column:
         return F.size(F.array_except(F.array(*[F.lit(at[t]) for t in sorted(need)]), "held")) == 0
 
     flags = {kind: F.exists(F.array(*map(one, query)), lambda x: x) for kind, query in rules}
-    found = held.select("doc_id", *[c.alias(k) for k, c in flags.items()])
+    found = held.select("doc_id", "text_hash", *[c.alias(k) for k, c in flags.items()])
     return found.where(F.exists(F.array(*[F.col(k) for k in flags]), lambda x: x))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, rule: Rule, place: int) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, place, kind, end>>, in code points, end exclusive."""
+    """Leftmost non-overlapping matches as array<struct<start, place, kind, end>>, in code points, end exclusive.
+
+    Lengths of the gaps between matches and of the matches are added up piece by piece, so a text with very many of them costs
+    in proportion to their number.
+    """
     regex = F.lit(rule.regex)
     kind = "array<struct<start:int,place:int,kind:string,end:int>>"
     parts = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"), F.regexp_extract_all(text, regex, F.lit(rule.group)).alias("part"))
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + length(x))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -116,8 +129,14 @@ def matches(text: Column, rule: Rule, place: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"))
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.regexp_like(text, regex), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    def piece(xs, before):
+        start = F.struct(F.aggregate(before, F.lit(0), lambda n, x: n + x).alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / PIECE).cast("int")), lambda i: F.slice(p, i * PIECE + 1, F.lit(PIECE)))
+    summed = lambda ps: F.struct(ps.alias("pieces"), F.transform(ps, total).alias("totals"))
+    spans = lambda z: F.flatten(F.transform(z["pieces"], lambda xs, i: piece(xs, F.slice(z["totals"], F.lit(1), i))))
+    return F.when(F.regexp_like(text, regex), once(once(once(parts, cut), summed), spans)).otherwise(F.array().cast(kind))
 
 
 def quick(rule: Rule) -> Rule:
@@ -129,18 +148,20 @@ def quick(rule: Rule) -> Rule:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc, spans) per document: ``doc`` holds the document's own columns, ``spans`` its matches by start, then rule.
 
-    Null and empty texts have no spans. Rows that repeat a doc_id, and rows without one, share their postings;
-    each is verified on its own text. Columns of any other name pass through unread. An empty table gives an
-    empty result.
+    Null and empty texts have no spans; texts of any length are scanned whole; matches of equal start come in the order of the
+    rules. A row is known to the index by its doc_id and text; rows alike in both share their postings. Columns of any other name
+    pass through unread. An empty table gives an empty result.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     sieved = [(k, q) for k, q in queries.items() if q]
     trigrams = sorted({t for _, q in sieved for s in q for t in s})
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_hash(F.col("text")).alias("_text"))
     if sieved:
-        c = candidates(postings(docs, trigrams), trigrams, sieved).withColumnRenamed("doc_id", "_id")
-        c = c.select("_id", F.struct(*[F.col(k) for k, _ in sieved]).alias("may")).hint("shuffle_hash")
-        d = d.join(c, d["doc"]["doc_id"].eqNullSafe(c["_id"]), "left")
+        c = candidates(postings(docs, trigrams), trigrams, sieved)
+        c = cut(c.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct(*[F.col(k) for k, _ in sieved]).alias("may")))
+        # Few texts are candidates; their flags go to the texts as long as they are known to be few, else both are shuffled.
+        c = F.broadcast(c) if c.count() <= BROADCAST_KEYS else c.hint("shuffle_hash")
+        d = d.join(c, d["doc"]["doc_id"].eqNullSafe(c["_id"]) & (d["_text"] == c["_hash"]), "left")
     text = F.coalesce(F.col("doc.text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
     found = [matches(text, quick(r), i) if queries[r.kind] is None else F.when(F.col("may")[r.kind], matches(text, quick(r), i)).otherwise(none) for i, r in enumerate(rules)]
@@ -160,7 +181,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every secret masked, with their own columns; n_chars, where it is there, follows the text."""
+    """The documents with every secret masked, with their own columns; n_chars, where it is there, follows the text.
+
+    Null and empty texts, and those without a secret, stay as they are; texts of any length are masked whole; rows that repeat are
+    masked alike; spans that touch or overlap get one mask. An empty table gives an empty result.
+    """
     s = scan(docs)
     hit = F.size("spans") > 0
     text = F.when(hit, masked(F.col("doc.text"), F.col("spans"))).otherwise(F.col("doc.text"))
