@@ -38,7 +38,3 @@ def rotary(a: Column, pos: Column, theta: float = THETA) -> Column:
         return F.array(x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle))
 
     return F.flatten(F.transform(pairs, turned))
-
-
-def silu(x: Column) -> Column:
-    return x / (1 + F.exp(-x))
