@@ -416,7 +416,8 @@ def shards_resume(spark, sf_dir):
     return t.select(F.col("shard_id").cast("long"), F.size(ids).cast("long").alias("rows"), joined(ids).alias("ids_md5"))
 
 
-STREAM_SHARDS = 16
+#: Sequences that the stream is dealt to, and how often documents arrive.
+STREAM_SHARDS, ARRIVALS = 16, 4
 
 
 @query(f"""WITH {IDS_SQL.split('placed AS')[0]}
@@ -428,10 +429,11 @@ def stream_windows(spark, sf_dir):
     """Windows from a stream of documents that are dealt to shards by id and come in the order of their ids, some files in a micro-batch."""
     source, path = scratch(spark), scratch(spark)
     d = readers.numbered(docs_of(spark, sf_dir).select("doc_id", "text"))
-    files = max(1, -(-d.count() // 5000))
-    for k in range(files):  # files in the order of their ids, as they would arrive
-        d.where(F.floor(F.col("pos") / 5000) == k).drop("pos").coalesce(1).write.mode("append").parquet(source)
-    out = streaming.stream_windows(streaming.read_stream(spark, source, "doc_id long, text string", 1), shards=STREAM_SHARDS)
+    n = d.count()
+    files = max(1, min(64, n // ARRIVALS // 1000))
+    for k in range(ARRIVALS):  # each arrival brings equally many files, which make one micro-batch
+        d.where(F.floor(F.col("pos") * ARRIVALS / n) == k).drop("pos").repartition(files).write.mode("append").parquet(source)
+    out = streaming.stream_windows(streaming.read_stream(spark, source, "doc_id long, text string", files), shards=STREAM_SHARDS)
     streaming.stream_to_parquet(out, f"{path}/out", f"{path}/checkpoint")
     return window_digests(spark.read.schema("shard int, window_id long, x array<int>, target array<int>").parquet(f"{path}/out"), "shard")
 
