@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkflow.llm.audit import OP12_SQL, op12_filter_audit
 from inkflow.llm.decontaminate import OP4_SQL, op4_decontaminate
 from inkflow.llm.language import op8_language
 from inkflow.llm.mixing import OP3_SQL, op3_mix
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op3_mix": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op5_vectors": OP5_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
