@@ -5,6 +5,7 @@ from __future__ import annotations
 from inkflow.llm.audit import OP12_SQL, op12_filter_audit
 from inkflow.llm.decontaminate import OP4_SQL, op4_decontaminate
 from inkflow.llm.language import op8_language
+from inkflow.llm.merkle import OP13_SQL, op13_merkle
 from inkflow.llm.mixing import OP3_SQL, op3_mix
 from inkflow.llm.neardup_vectors import OP5_SQL, op5_vectors
 from inkflow.llm.quality import op9_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op12_filter_audit": op12_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
     "op5_vectors": OP5_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_merkle": OP13_SQL,
 }
