@@ -5,6 +5,7 @@ from __future__ import annotations
 from inkflow.llm.audit import OP12_SQL, op12_filter_audit
 from inkflow.llm.decontaminate import OP4_SQL, op4_decontaminate
 from inkflow.llm.language import op8_language
+from inkflow.llm.licenses import op11_licenses
 from inkflow.llm.merkle import OP13_SQL, op13_merkle
 from inkflow.llm.mixing import OP3_SQL, op3_mix
 from inkflow.llm.neardup_vectors import OP5_SQL, op5_vectors
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_licenses": op11_licenses,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle": op13_merkle,
 }
