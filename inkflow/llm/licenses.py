@@ -97,16 +97,17 @@ def evaluated(text: bytes, at: int = 0) -> Licence | None:
         values.append(applied(operators.pop(), a, b))
 
     while m := _TOKEN.match(text, at):
-        token = m[1].decode().rstrip(".:-")
+        spelled = m[1].decode()
+        token = spelled.rstrip(".:-")
         if operand and token == "(":
             operators.append(token)
         elif operand and token not in _BINDS and token != ")":
             values.append(of_name(token))
             operand = False
-            if len(m[1]) > len(token):  # the mark behind it ends the sentence
+            if spelled != token:  # the mark behind it ends the sentence
                 at = m.end()
                 break
-        elif not operand and token in _BINDS:
+        elif not operand and spelled in _BINDS:
             while operators and operators[-1] != "(" and _BINDS[operators[-1]] >= _BINDS[token]:
                 reduce()
             operators.append(token)
