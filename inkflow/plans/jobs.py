@@ -14,14 +14,14 @@ from inkflow.sources import mix, readers, shards
 def placed(docs: DataFrame, codes: list[tuple[str, str]] = (), words: list[str] = (), freq: dict[str, int] | None = None, keep: float = 0.5, script: dict[str, str] | None = None, seed: int = 67) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, start, ids): cleaned, converted, normalised, encoded, framed and placed.
 
-    Ids are made twice, once for their number: texts travel through the prefix sum, which are smaller than ids.
+    Where the number of ids is not known without them they are made twice: only that number goes through the prefix sum.
     """
     ready = text.nfkc(text.script_converter(script or {})(text.clean(F.col("text"))))
     d = docs.select("doc_id", ready.alias("text"))
     e = encode.encoder(codes, words, freq, keep, seed)
     ids = encode.framed(e(F.col("doc_id").cast("string"), F.col("text")))
     size = F.size(ids) if codes or words else encode.n_tokens(F.col("text"))
-    return sequence.prefix_sum(d.withColumn("n", size), "doc_id", F.col("n"), "start").select("doc_id", "start", ids.alias("ids"))
+    return readers.spread(sequence.prefix_sum(d, "doc_id", size, "start"), "start").select("doc_id", "start", ids.alias("ids"))
 
 
 def build_shards(docs: DataFrame, path: str, per_shard: int, block: int = sequence.BLOCK, most: int | None = None, source: str | None = None, mode: str = "include", settings: dict | None = None, **encoding) -> dict:

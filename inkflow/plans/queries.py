@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from inkflow.functions import encode, text, vocab
 from inkflow.operators import decode, model, numeric, sampling, wordfreq
 from inkflow.plans import jobs, sequence
+from inkflow.plans.lineage import scratch
 from inkflow.sources import mix, readers, shards
 from inkflow.streaming import windows as streaming
 
@@ -70,9 +69,9 @@ def id_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, start). Sizes are known without the ids, so only numbers are summed up before the ids are made."""
+    """(doc_id, ids, start). Sizes are known without the ids, so only numbers are summed up, and joined to the texts, before the ids are made."""
     d = docs_of(spark, sf_dir).select("doc_id", text.clean(F.col("text")).alias("text"))
-    d = sequence.prefix_sum(d, "doc_id", encode.n_tokens(F.col("text")), "start")
+    d = readers.spread(sequence.prefix_sum(d, "doc_id", encode.n_tokens(F.col("text")), "start"), "start")
     return d.select("doc_id", encode.framed(encode.encoder()(F.col("doc_id"), F.col("text"))).alias("ids"), "start")
 
 
@@ -84,15 +83,6 @@ def joined(c: str) -> F.Column:
     return F.md5(F.array_join(c, ","))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder of its own in the shared checkpoint folder."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='inkflow-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- text
 
 ESCAPES = [(-1, "x\\12y\\0z\\5"), (-2, None), (-3, ""), (-4, "\\9\\10 \\01")]

@@ -1,39 +1,79 @@
 """Global token positions and windows by count, without a global sort of tokens.
 
-Documents are the unit: each knows its ids and where it starts. Positions come from a prefix sum in two steps (over
-ranges of order keys, then inside a range), so that no task ever sees all documents. Windows are put together from the
+Documents are the unit: each knows its ids and where it starts. Positions come from a prefix sum over order keys alone, whose
+ranges have their borders from the data, so that no task ever sees all documents. Windows are put together from the
 slices that documents lend them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkflow.plans.lineage import cut
+
 BLOCK = STRIDE = 256
-#: Ranges of equal width that the order keys are cut into, whatever lies between the least and the greatest.
-RANGES = 4096
+#: Rows of a key and a number that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def _before(by: tuple[str, ...], order: str):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _same(d: DataFrame, other: DataFrame, keys: tuple[str, ...]) -> Column:
+    """Equal keys, null like null; ``other`` has them with a mark before the name."""
+    return reduce(Column.__and__, [d[k].eqNullSafe(other[f"_k_{k}"]) for k in keys])
+
+
+def _marked(d: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    return d.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *more)
+
+
+def key_ranges(df: DataFrame, keys: tuple[str, ...], value: Column) -> DataFrame:
+    """(keys, _sum, _n, _part): sums and rows of each key, dealt to ranges of keys that are cut where the data say so.
+
+    Nothing but keys and numbers is shuffled. Ranges hold about equally many keys, whether these are dense, sparse, hashes or far apart, and
+    there are more of them with more keys: as many as shuffle partitions, fewer where Spark joins small ones.
+    """
+    sums = df.select(*keys, value.cast("long").alias("_value")).groupBy(*keys).agg(F.sum("_value").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    return cut(sums.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+
+
 def prefix_sum(df: DataFrame, order: str, value: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows before, by the integer column ``order``, for each ``by``.
+    """Adds ``name``: the sum of ``value`` over the rows before, by the column ``order``, for each ``by``.
 
-    The keys are cut into RANGES ranges between the least and the greatest, so that dense ids, sparse ones and hashes
-    of 64 bits are spread alike; only one sum for each range (and ``by``) meets in one task. Rows without a key come first.
+    Keys are summed up in ranges (``key_ranges``); one sum for each range and ``by`` meets in one task, and the sum before each key is joined
+    back to the rows, which move once, or not at all while the keys are few enough to be broadcast. Rows without a key come first.
+    Rows of one key follow each other by a hash of the whole row, in ranges of that hash; only rows alike in all columns meet in one task.
     """
-    low, high = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
-    low, width = low or 0.0, max(1.0, ((high or 0.0) - (low or 0.0)) / RANGES)
-    d = df.withColumns({"_value": value.cast("long"), "_range": F.coalesce(F.floor((F.col(order).cast("double") - low) / width), F.lit(-1)).cast("long")})
-    keys = (*by, "_range")
-    sums = d.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(_before(by, "_range")), F.lit(0))).select(*[F.col(k).alias(f"_b{k}") for k in keys], "_base")
-    joined = d.join(base, [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys])
-    inside = F.coalesce(F.sum("_value").over(_before(keys, order)), F.lit(0))
-    return joined.withColumn(name, F.col("_base") + inside).select(*df.columns, name)
+    return _summed(df, order, value, name, by, False)
+
+
+def _summed(df: DataFrame, order: str, value: Column, name: str, by: tuple[str, ...], alike: bool) -> DataFrame:
+    keys = (*by, order)
+    ranges = key_ranges(df, keys, value)
+    held, most = ranges.agg(F.count(F.lit(1)), F.max("_n")).first()
+    totals = ranges.groupBy(*by, "_part").agg(F.sum("_sum").alias("_total"))
+    base = _marked(totals.withColumn("_base", F.coalesce(F.sum("_total").over(_before(by, "_part")), F.lit(0))), (*by, "_part"), "_base")
+    inside = F.coalesce(F.sum("_sum").over(_before((*by, "_part"), order)), F.lit(0))
+    placed = ranges.withColumn("_inside", inside).join(base, _same(ranges, base, (*by, "_part")))
+    starts = _marked(placed.withColumn("_start", F.col("_base") + F.col("_inside")), keys, "_start", "_n")
+    starts = F.broadcast(starts) if held <= BROADCAST_KEYS else starts.hint("shuffle_hash")
+    out = df.join(starts, _same(df, starts, keys))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    if (most or 0) < 2:
+        return out.select(*own, F.col("_start").alias(name))
+    more = out.where("_n > 1").select(*own, F.col("_start").alias(f"_to_{name}"))
+    if alike:
+        more = more.withColumn("_after", F.coalesce(F.sum(value.cast("long")).over(_before(keys, order)), F.lit(0)))
+    else:
+        tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+        more = _summed(more.withColumn("_tie", tie), "_tie", value, "_after", keys, True)
+    more = more.select(*own, (F.col(f"_to_{name}") + F.col("_after")).alias(name))
+    return out.where("_n = 1").select(*own, F.col("_start").alias(name)).union(more)
 
 
 def windows(docs: DataFrame, block: int = BLOCK, stride: int = STRIDE, by: tuple[str, ...] = (), total: Column | None = None) -> DataFrame:

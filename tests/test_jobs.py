@@ -138,3 +138,30 @@ def test_sampled_loss(spark):
     assert sampling.sampled_cross_entropy(logits, targets, everything).first()[0] == pytest.approx(whole)
     assert sampling.sampled_cross_entropy(logits, targets, everything.limit(1)).first()[0] < whole
     assert sampling.cross_entropy(logits, targets.where("target < 0")).first()[0] is None
+
+
+@pytest.mark.parametrize("key", ["id", "if(id = 99999, 9000000000000000000, id)", "xxhash64(id)", "if(id % 3 = 0, null, id)"])
+def test_ranges_follow_the_data(spark, key):
+    """No range holds more than twice the mean, one key far from all others or not."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = [r["count"] for r in sequence.key_ranges(spark.range(100_000).select(F.expr(key).alias("k")), ("k",), F.lit(1)).groupBy("_part").count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(n) == 32 and max(n) <= 2 * sum(n) / len(n)
+
+
+def test_prefix_sums_of_ties(spark):
+    """Rows of one key, alike or not, have places of their own; nulls come first."""
+    rows = [(None, f"t{i % 50}", i % 4) for i in range(300)] + [(5, "same", 2)] * 7 + [(5, "other", 3), (9, None, 1), (-1, "x", 4)]
+    d = spark.createDataFrame(rows, "k long, t string, v int").withColumn("m", F.create_map(F.lit("a"), F.col("v")))
+    got = sorted(((r["s"], r["v"], r["k"]) for r in sequence.prefix_sum(d, "k", F.col("v") + 1, "s").collect()), key=lambda x: x[0])
+    at = 0
+    for s, v, _ in got:
+        assert s == at
+        at += v + 1
+    keys = [k for _, _, k in got]
+    assert keys == [None] * 300 + [-1] + [5] * 8 + [9] and len(got) == len(rows)
