@@ -12,6 +12,7 @@ from inkflow.operators import decode, model, numeric, sampling, wordfreq
 from inkflow.plans import jobs, sequence
 from inkflow.plans.lineage import scratch
 from inkflow.sources import mix, readers, shards
+from inkflow.streaming import mix as stream_mix
 from inkflow.streaming import windows as streaming
 
 QUERIES: dict = {}
@@ -428,6 +429,44 @@ def stream_windows(spark, sf_dir):
     return window_digests(spark.read.schema("shard int, window_id long, x array<int>, target array<int>").parquet(f"{path}/out"), "shard")
 
 
+#: Shares of the documents that have come when a stream is stopped.
+STOPS = (0.13, 0.14, 0.7, 1.0)
+
+
+def arrivals(spark, sf_dir, *columns: str):
+    """The documents come in parts, in the order of their ids; after each the folder they came to, to run a stream until it stops."""
+    source = scratch(spark)
+    d = readers.numbered(docs_of(spark, sf_dir).select("doc_id", *columns))
+    n, low = d.count(), 0
+    for share in STOPS:
+        high = int(n * share)
+        d.where(F.col("pos").between(low, high - 1)).drop("pos").write.mode("append").parquet(source)
+        low = high
+        yield source
+
+
+@query(windows_sql(256, 256))
+def stream_resume(spark, sf_dir):
+    """Windows of a stream that is stopped in mid-document three times and goes on: one sequence, as if it had never been stopped."""
+    path = scratch(spark)
+    for source in arrivals(spark, sf_dir, "text"):
+        s = streaming.read_stream(spark, source, "doc_id long, text string", 1_000_000)
+        streaming.stream_to_windows(s, f"{path}/out", f"{path}/checkpoint")
+    return window_digests(streaming.read_windows(spark, f"{path}/out"))
+
+
+RESUMED = 3
+
+
+@query(f"SELECT * FROM ({windows_sql(256, 256)}) WHERE window_id >= {RESUMED * 128}")
+def stream_fast_forward(spark, sf_dir):
+    """What is left of the stream's windows for a run that resumes after some steps."""
+    path = scratch(spark)
+    for source in arrivals(spark, sf_dir, "text"):
+        streaming.stream_to_windows(streaming.read_stream(spark, source, "doc_id long, text string", 1_000_000), f"{path}/out", f"{path}/checkpoint")
+    return window_digests(streaming.read_windows(spark, f"{path}/out", step=RESUMED))
+
+
 # ---------------------------------------------------------------- sources and mixes
 
 NULLS = [(-1, "a"), (-2, "b"), (-3, None)]
@@ -489,6 +528,16 @@ def interleave(spark, sf_dir):
     return mix.interleave(docs_of(spark, sf_dir).select("doc_id", "source"), WEIGHTS).select("k", "doc_id", "source")
 
 
+@query(INTERLEAVE_SQL)
+def stream_interleave(spark, sf_dir):
+    """The same mix from documents that arrive bit by bit, of a stream that is stopped and started again."""
+    path = scratch(spark)
+    for source in arrivals(spark, sf_dir, "source"):
+        s = streaming.read_stream(spark, source, "doc_id long, source string", 1_000_000)
+        stream_mix.interleave_to_parquet(s, WEIGHTS, f"{path}/out", f"{path}/checkpoint")
+    return stream_mix.read_mixed(spark, f"{path}/out").select("k", "doc_id", "source")
+
+
 @query("SELECT doc_id, lpad(((row_number() OVER (ORDER BY doc_id) - 1) // 10240)::VARCHAR, 12, '0') || ':' || md5('70:' || doc_id) AS shuffle_key FROM documents")
 def shuffle_order(spark, sf_dir):
     return readers.shuffled(docs_of(spark, sf_dir).select("doc_id"), epoch=2, worker=1, buffer=10_240)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkflow.plans.sequence import prefix_sum
@@ -19,8 +19,11 @@ def mix_weights(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(i, n, float(w), w / total) for i, (n, w) in enumerate(weights.items())], "ord int, source string, weight double, probability double")
 
 
-def schedule(spark: SparkSession, weights: dict[str, float], picks: int, seed: int = SEED) -> DataFrame:
-    """(k, source, turn): the source of each pick, by a hash of seed and pick, and the how-manieth of that source it is."""
+def schedule(spark: SparkSession, weights: dict[str, float], picks: int, seed: int = SEED, start: int = 0, turned: dict[str, int] | None = None) -> DataFrame:
+    """(k, source, turn): the source of each pick, by a hash of seed and pick, and the how-manieth of that source it is.
+
+    ``picks`` picks from ``start`` on; ``turned`` is how often each source was picked before.
+    """
     mix_weights(spark, weights)
     total, at, source = sum(weights.values()), 0.0, F.lit(None).cast("string")
     u = hash_unit(seed, F.col("k"))
@@ -31,8 +34,14 @@ def schedule(spark: SparkSession, weights: dict[str, float], picks: int, seed: i
     for n, bound in reversed(bounds):
         source = F.when(u < bound, F.lit(n)).otherwise(source)
     last = next(n for n, w in reversed(weights.items()) if w > 0)
-    k = spark.range(picks).select(F.col("id").alias("k")).withColumn("source", F.coalesce(source, F.lit(last)))
-    return prefix_sum(k, "k", F.lit(1), "turn", by=("source",))
+    k = spark.range(start, start + picks).select(F.col("id").alias("k")).withColumn("source", F.coalesce(source, F.lit(last)))
+    turns = prefix_sum(k, "k", F.lit(1), "turn", by=("source",))
+    return turns.withColumn("turn", F.col("turn") + by_source(turned, weights)) if turned else turns
+
+
+def by_source(numbers: dict[str, int], weights: dict[str, float], source: str = "source") -> Column:
+    """The number of the row's source; a mix has few sources, so they are literals."""
+    return F.create_map(*[x for n in weights for x in (F.lit(n), F.lit(numbers.get(n, 0)).cast("long"))])[F.col(source)]
 
 
 def interleave(docs: DataFrame, weights: dict[str, float], seed: int = SEED, stop: str = "first_exhausted", source: str = "source", order: str = "doc_id") -> DataFrame:
@@ -52,7 +61,7 @@ def interleave(docs: DataFrame, weights: dict[str, float], seed: int = SEED, sto
     picks = int((min if stop == "first_exhausted" else max)(need) * 1.05) + 1000
     while True:
         plan = schedule(spark, weights, picks, seed)
-        n = F.create_map(*[x for k in weights for x in (F.lit(k), F.lit(sizes.get(k, 0)))])[F.col("source")]
+        n = by_source(sizes, weights)
         if stop == "first_exhausted":
             end = plan.where(F.col("turn") >= n).agg(F.min("k")).first()[0]
         else:

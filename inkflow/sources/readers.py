@@ -16,19 +16,21 @@ def read_documents(spark: SparkSession, json_path: str | None = None, mix: list[
     """JSON wins over a mix, and that over one path.
 
     ``split`` is a partition folder below the path, ``files`` a name pattern. A stream needs the schema, a batch finds its own.
-    A mix is a list of dicts with name, weight, path, files and split; missing columns become null.
+    A mix is a list of dicts with name, weight, path, files and split; missing columns become null. As a batch it comes interleaved; as a stream
+    it is the sources' rows with mix_name, which ``streaming.mix.interleave_to_parquet`` puts in the order of the mix as they arrive.
     """
     if json_path:
         return spark.readStream.schema(schema).json(json_path) if streaming else spark.read.json(json_path)
     if mix:
-        if streaming:
-            raise ValueError("a stream has no global order to interleave by; read its sources one by one")
-        from inkflow.sources.mix import interleave
+        from inkflow.sources.mix import interleave, mix_weights
 
-        parts = [read_documents(spark, path=m["path"], files=m.get("files"), split=m.get("split", split)).withColumn("mix_name", F.lit(m["name"])) for m in mix]
+        mix_weights(spark, {m["name"]: float(m.get("weight", 1.0)) for m in mix})
+        parts = [read_documents(spark, path=m["path"], files=m.get("files"), split=m.get("split", split), streaming=streaming, schema=schema).withColumn("mix_name", F.lit(m["name"])) for m in mix]
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p, allowMissingColumns=True)
+        if streaming:
+            return union
         return interleave(union, {m["name"]: float(m.get("weight", 1.0)) for m in mix}, source="mix_name")
     if not path:
         raise ValueError("nothing to read")

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.functions.encode import encoder, framed
+from inkflow.functions.encode import encoder, framed, n_tokens
 from inkflow.functions.text import clean
+from inkflow.plans import sequence
+from inkflow.streaming.state import drop_folder, last_state, run_batches, state_before, write_state
 
 
 def stream_windows(docs: DataFrame, block: int = 256, stride: int = 256, shards: int = 1) -> DataFrame:
@@ -36,6 +38,60 @@ def stream_windows(docs: DataFrame, block: int = 256, stride: int = 256, shards:
     return ids.groupBy("shard").applyInPandasWithState(carry, "shard int, window_id long, x array<int>, target array<int>", "tail binary, n long", "append", "NoTimeout")
 
 
+def windows_of_batch(batch: DataFrame, batch_id: int, path: str, block: int = 256, stride: int = 256, shards: int = 1) -> None:
+    """One micro-batch: its ids go on where those of the batch before ended, and what no window has passed yet is kept for the next.
+
+    Positions come from a prefix sum over ids and lengths, windows from slices that documents lend them, so a shard is spread over tasks like a
+    table is: no task holds what a micro-batch brings to a shard. The tail is less than a block and a stride of ids for each shard.
+    """
+    if stride > block:
+        raise ValueError("a stride above the block would lose what lies between windows")
+    spark = batch.sparkSession
+    held = state_before(spark, path, batch_id) or {"ids": [0] * shards, "ends": []}
+    before = held["ids"]
+    number = lambda of: F.element_at(F.array(*[F.lit(x).cast("long") for x in of]), F.col("shard") + 1)
+    d = batch.select(F.coalesce(F.pmod("doc_id", F.lit(shards)), F.lit(0)).cast("int").alias("shard"), "doc_id", clean(F.col("text")).alias("text")).withColumn("n", n_tokens(F.col("text")))
+    new = {r[0]: r[1] for r in d.groupBy("shard").agg(F.sum("n")).collect()}
+    ids = [x + new.get(i, 0) for i, x in enumerate(before)]
+    passed = [max(0, (x - block - 1) // stride + 1) for x in ids]
+    d = sequence.prefix_sum(d, "doc_id", F.col("n"), "start", by=("shard",)).withColumn("start", F.col("start") + number(before))
+    encoded = lambda rows: rows.select("shard", "start", framed(encoder()(F.col("doc_id"), F.col("text"))).alias("ids"))
+    rows, late = encoded(d), encoded(d.where(F.col("start") + F.col("n") > number(passed) * stride))
+    if batch_id:
+        tail = spark.read.parquet(f"{path}/tail/batch={batch_id - 1}")
+        rows, late = rows.union(tail), late.union(tail)
+    sequence.windows(rows, block, stride, by=("shard",)).write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
+    skip = F.greatest(F.lit(0).cast("long"), number(passed) * stride - F.col("start"))
+    late = late.where(F.col("start") + F.size("ids") > number(passed) * stride)
+    late = late.select("shard", (F.col("start") + skip).alias("start"), F.slice("ids", skip.cast("int") + 1, F.size("ids")).alias("ids"))
+    late.coalesce(1).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
+    write_state(spark, path, batch_id, {"ids": ids, "ends": [*held["ends"], sum(passed)]})
+    drop_folder(spark, f"{path}/tail/batch={batch_id - 2}")
+
+
+def stream_to_windows(stream: DataFrame, path: str, checkpoint: str, block: int = 256, stride: int = 256, shards: int = 1) -> None:
+    """Windows of everything that has arrived, in the order of arrival and by id within a micro-batch; called again it goes on.
+
+    However the micro-batches fall, wherever the stream was stopped and whichever batch was repeated, the windows are those of one sequence
+    for each shard.
+    """
+    run_batches(stream, lambda batch, batch_id: windows_of_batch(batch, batch_id, path, block, stride, shards), checkpoint)
+
+
+def read_windows(spark: SparkSession, path: str, step: int = 0, per_step: int = 128) -> DataFrame:
+    """(shard, window_id, x, target) after ``step`` steps of ``per_step`` windows, for a training run that resumes there.
+
+    With one shard folders of batches that end before that are not read; with more a step takes its share of each shard.
+    """
+    held = last_state(spark, path)
+    if held is None:
+        raise ValueError(f"{path} holds no windows yet")
+    shards, skip = len(held["ids"]), step * per_step
+    first = next((b for b, end in enumerate(held["ends"]) if end > skip), len(held["ends"])) if shards == 1 else 0
+    w = spark.read.parquet(f"{path}/windows").where(F.col("batch").between(first, held["batch_id"])).drop("batch")
+    return w.where(F.col("window_id") * shards + F.col("shard") >= skip) if step else w
+
+
 def stream_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Everything that is there now, exactly once: the sink's log and the checkpoint decide what was done."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkflow.functions import encode, vocab
 from inkflow.operators import decode, sampling
+from inkflow.functions.text import clean
 from inkflow.plans import jobs, sequence
 from inkflow.sources import readers, shards
 from inkflow.streaming import windows as streaming
@@ -165,3 +166,30 @@ def test_prefix_sums_of_ties(spark):
         at += v + 1
     keys = [k for _, _, k in got]
     assert keys == [None] * 300 + [-1] + [5] * 8 + [9] and len(got) == len(rows)
+
+
+@pytest.mark.parametrize(("block", "stride", "shards"), [(32, 16, 1), (64, 64, 3), (7, 5, 2)])
+def test_windows_of_a_stopped_stream(spark, tmp_path, block, stride, shards):
+    """Each arrival is a run of its own: the windows are those of one sequence for each shard, and fast-forward leaves out whole steps."""
+    d = docs(spark, 60).select("doc_id", F.regexp_replace("text", "[明日]", "x").alias("text"))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for low, high in ((0, 0), (1, 1), (2, 40), (41, 59)):
+        d.where(F.col("doc_id").between(low, high)).coalesce(1).write.mode("append").parquet(source)
+        streaming.stream_to_windows(streaming.read_stream(spark, source, "doc_id long, text string", 1), out, str(tmp_path / "check"), block, stride, shards)
+    placed = sequence.prefix_sum(d.select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), "doc_id", encode.framed(encode.encoder()(F.col("doc_id"), clean(F.col("text")))).alias("ids")), "doc_id", F.size("ids"), "start", by=("shard",))
+    want = {(r["shard"], r["window_id"]): (r["x"], r["target"]) for r in sequence.windows(placed, block, stride, by=("shard",)).collect()}
+    got = {(r["shard"], r["window_id"]): (r["x"], r["target"]) for r in streaming.read_windows(spark, out).collect()}
+    assert got == want and len(got) > 20
+    rest = {(r["shard"], r["window_id"]) for r in streaming.read_windows(spark, out, step=3, per_step=4).collect()}
+    assert rest == {(s, w) for s, w in want if w * shards + s >= 12}
+
+
+def test_windows_of_a_batch_that_is_repeated(spark, tmp_path):
+    d = docs(spark, 30).select("doc_id", F.regexp_replace("text", "[明日]", "x").alias("text"))
+    out = str(tmp_path / "out")
+    for batch_id, (low, high) in enumerate(((0, 9), (10, 11), (12, 29))):
+        for _ in range(2):  # the second time as if its commit had been lost
+            streaming.windows_of_batch(d.where(F.col("doc_id").between(low, high)), batch_id, out, 32, 16)
+    got = streaming.read_windows(spark, out).select("window_id", "x", "target")
+    want = sequence.windows(jobs.placed(d), 32, 16)
+    assert got.count() == want.count() > 20 and got.exceptAll(want).isEmpty()
