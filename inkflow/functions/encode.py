@@ -94,7 +94,19 @@ def n_tokens(text: Column) -> Column:
 
 def strict_ids(text: Column, codes: list[tuple[str, str]] = (), words: list[str] = ()) -> Column:
     """One id for each character, which must have a shape code or be a direct token; any other is an error."""
-    table = single_ids(codes, words)
-    known = F.create_map(*[x for c in range(0x110000) if table[c] >= 0 for x in (F.lit(chr(c)), F.lit(int(table[c])))])
-    unknown = lambda c: F.raise_error(F.concat(F.lit("neither a shape code nor a direct token: "), c)).cast("int")
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(known, c), unknown(c)))
+    codes, words = list(codes), list(words)
+    held: list[np.ndarray] = []
+
+    @F.arrow_udf("array<int>")
+    def strict(text: pa.Array) -> pa.Array:
+        if not held:
+            held.append(single_ids(codes, words))
+        out = []
+        for t in text.to_pylist():
+            ids = None if t is None else held[0][np.frombuffer(t.encode("utf-32-le"), np.uint32)]
+            if ids is not None and (ids < 0).any():
+                raise ValueError(f"neither a shape code nor a direct token: {t[int(np.argmax(ids < 0))]}")
+            out.append(ids)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return strict(text)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkflow.functions.text import CJK, utf8_runs
-from inkflow.functions.vocab import FIRST_BYTE, ROW, code_candidates, direct_row, tokens
+from inkflow.functions.vocab import FIRST_BYTE, PAD, ROW, code_candidates, tokens
 
 BEAMS, CONTEXT, UNRANKED, WORST = 4, 12, 3500, 20_000
 
@@ -42,19 +42,35 @@ def candidates_of_code(rows: DataFrame, codes: DataFrame) -> DataFrame:
 def rows_of_symbols(symbols: Column, words: list[str] = ()) -> Column:
     """Rows of token ids of a list of symbols: five make one row, each of which has to be a token; of any other list the first one is
     looked up, and is spelled in bytes, a row each, if it is no token."""
-    table = F.create_map(*[x for i, t in enumerate(tokens(list(words))) for x in (F.lit(t), F.lit(i))])
-    strict = lambda s: F.coalesce(F.try_element_at(table, s), F.raise_error(F.concat(F.lit("no token: "), s)).cast("int"))
-    first = F.get(symbols, F.lit(0))
-    spelled = F.regexp_extract_all(F.hex(F.encode(first, "utf-8")), F.lit("(..)"), F.lit(1))
-    of_bytes = F.transform(spelled, lambda h: direct_row(F.conv(h, 16, 10).cast("int") + FIRST_BYTE))
-    known = F.try_element_at(table, first)
-    return F.when(F.size(symbols) == ROW, F.array(F.transform(symbols, strict))).when(known.isNotNull(), F.array(direct_row(known))).otherwise(of_bytes)
+    table = {t: i for i, t in enumerate(tokens(list(words)))}
+    pad = [PAD] * (ROW - 1)
+
+    def one(s: list[str]) -> list[list[int]]:
+        if len(s) == ROW:
+            missed = [x for x in s if x not in table]
+            if missed:
+                raise ValueError(f"no token: {missed[0]}")
+            return [[table[x] for x in s]]
+        if not s:
+            return []
+        return [[table[s[0]], *pad]] if s[0] in table else [[b + FIRST_BYTE, *pad] for b in s[0].encode()]
+
+    @F.arrow_udf("array<array<int>>")
+    def rows(symbols: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else one(s) for s in symbols.to_pylist()], pa.list_(pa.list_(pa.int32())))
+
+    return rows(symbols)
 
 
 def symbols_of(text: Column, codes: dict[str, str]) -> Column:
     """For each character its five symbols, or itself."""
-    table = F.create_map(*[x for c, code in codes.items() for x in (F.lit(c), F.array(*map(F.lit, ([f"cj_{y}" for y in code] + ["[PAD]"] * 5)[:5])))]) if codes else F.create_map().cast("map<string,array<string>>")
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(table, c), F.array(c)))
+    table = {c: ([f"cj_{y}" for y in code] + ["[PAD]"] * ROW)[:ROW] for c, code in codes.items()}
+
+    @F.arrow_udf("array<array<string>>")
+    def symbols(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [table.get(c, [c]) for c in t] for t in text.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    return symbols(text)
 
 
 def merged_bytes(ids: DataFrame, key: str = "doc_id", pos: str = "pos", first_byte: int = 101) -> DataFrame:
@@ -121,6 +137,9 @@ def best_reading(items: list[str | list[str]], lexicon: Lexicon, beams: int = BE
         if isinstance(item, str) or not singles:
             certain.append(item if isinstance(item, str) else item[0] if item else "")
             continue
+        if len(held) == len(singles) == 1:  # whatever it scores, all beams to come have it
+            certain.append(singles[0])
+            continue
         since = "".join(t for t in certain if len(t) == 1)
         grown = []
         for s, before, chain in held:

@@ -11,12 +11,12 @@ from inkflow.plans import sequence
 from inkflow.sources import mix, readers, shards
 
 
-def placed(docs: DataFrame, codes: list[tuple[str, str]] = (), words: list[str] = (), freq: dict[str, int] | None = None, keep: float = 0.5, script: dict[str, str] | None = None, seed: int = 67) -> DataFrame:
-    """``docs(doc_id, text)`` -> (doc_id, start, ids): cleaned, converted, normalised, encoded, framed and placed.
+def placed(docs: DataFrame, codes: list[tuple[str, str]] = (), words: list[str] = (), freq: dict[str, int] | None = None, keep: float = 0.5, script: tuple[dict[str, str], ...] = (), seed: int = 67) -> DataFrame:
+    """``docs(doc_id, text)`` -> (doc_id, start, ids): cleaned, converted (by the stages of ``script``), normalised, encoded, framed and placed.
 
     Where the number of ids is not known without them they are made twice: only that number goes through the prefix sum.
     """
-    ready = text.nfkc(text.script_converter(script or {})(text.clean(F.col("text"))))
+    ready = text.nfkc(text.script_converter(*script)(text.clean(F.col("text"))))
     d = docs.select("doc_id", ready.alias("text"))
     e = encode.encoder(codes, words, freq, keep, seed)
     ids = encode.framed(e(F.col("doc_id").cast("string"), F.col("text")))
@@ -53,13 +53,13 @@ def training_split(spark: SparkSession, path: str, held_out: int = 4, block: int
     return train, shards.read_shards(spark, path, n - k, None, block, stride) if k else None
 
 
-def build_vocabulary(docs: DataFrame, weights: dict[str, float], freq: dict[str, int], sample: int = mix.SAMPLE, k: int = wordfreq.TOP, script: dict[str, str] | None = None) -> DataFrame:
+def build_vocabulary(docs: DataFrame, weights: dict[str, float], freq: dict[str, int], sample: int = mix.SAMPLE, k: int = wordfreq.TOP, script: tuple[dict[str, str], ...] = (), hidden: text.HiddenStates | None = None) -> DataFrame:
     """(word, n): the most frequent vocabulary words of a sample that takes each source by its weight; no source at all is an error."""
     spark = docs.sparkSession
     quota = mix.sample_quota(spark, weights, sample)
     order = mix.mix_weights(spark, weights).select("source", F.col("ord").alias("source_ord"))
     chosen = readers.per_source_first(docs.select("doc_id", "text", "source"), quota)
     wordfreq.loaded_sources(chosen)
-    ready = text.script_converter(script or {})(text.nfkc(F.coalesce("text", F.lit(""))))
-    words = text.segmenter(freq)(ready)
+    ready = text.script_converter(*script)(text.nfkc(F.coalesce("text", F.lit(""))))
+    words = text.segmenter(freq, hidden)(ready)
     return wordfreq.top_words(wordfreq.word_counts(chosen.join(F.broadcast(order), "source").select("source_ord", "doc_id", words.alias("words"))), k)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkflow.functions import encode, text, vocab
-from inkflow.operators import decode, model, numeric, sampling, wordfreq
-from inkflow.plans import jobs, sequence
+from inkflow.operators import decode, model, numeric, sampling, suffixes, wordfreq
+from inkflow.plans import han, jobs, sequence
 from inkflow.plans.lineage import scratch
 from inkflow.sources import mix, readers, shards
 from inkflow.streaming import mix as stream_mix
@@ -33,7 +33,6 @@ def query(sql: str | None = None):
 MINI_CODES = [(0, "日", "a"), (1, "曰", "a"), (2, "月", "b"), (3, "明", "ab"), (4, "木", "d"), (5, "林", "dd"), (6, "我", "hqi"), (7, "鬱", "ddabc")]
 MINI_DICT = [("日", 100), ("明", 50), ("明日", 30), ("曰", 5), ("月", 80), ("林", 20), ("木", 20), ("林木", 20), ("明月", 30), ("a日", 7), ("我", 0)]
 WEIGHTS = {"src0": 2.0, "src1": 1.0, "src2": 0.5, "src3": 1.5}
-QUOTA = {"a": 0.2, "b": 0.25, "c": 0.1, "d": 0.2, "e": 0.1, "f": 0.05, "g": 0.1}
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -49,11 +48,6 @@ def codes_of(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MINI_CODES, "ord int, char string, code string")
 
 
-def dict_of(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MINI_DICT, "word string, freq int")
-
-
-CODES_SQL, DICT_SQL = values(MINI_CODES, "ord, char, code"), values(MINI_DICT, "word, freq")
 CLEAN_SQL = r"regexp_replace(coalesce(text, ''), '\\[1-9][0-9]*', ' ', 'g')"
 ID_SQL = "CASE WHEN b BETWEEN 32 AND 126 THEN b - 28 WHEN b = 10 THEN 99 WHEN b = 9 THEN 100 ELSE 101 + b END"
 IDS_SQL = f"""
@@ -95,41 +89,80 @@ def clean_text(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", "text").union(more).select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
-WIDE = [(1, "ＡＢＣ　１", "ABC 1"), (2, "ﬁn ①", "fin 1"), (3, "plain", "plain"), (4, "e\u0301", "é")]
+WIDE = [(-1, "ＡＢＣ　１", "ABC 1"), (-2, "ﬁn ①", "fin 1"), (-3, "plain", "plain"), (-4, "e\u0301", "é")]
+NARROW, BROAD = "".join(map(chr, range(32, 127))), "".join(map(chr, [0x3000, *range(0xFF01, 0xFF5F)]))
 
 
-@query(f"SELECT id, want AS text FROM {values(WIDE, 'id, given, want')}")
+@query(f"SELECT doc_id, text FROM documents UNION ALL SELECT id, want FROM {values(WIDE, 'id, given, want')}")
 def nfkc_text(spark, sf_dir):
-    return spark.createDataFrame(WIDE, "id int, given string, want string").select("id", text.nfkc(F.col("given")).alias("text"))
+    """All texts, written in wide characters, and back."""
+    wide = docs_of(spark, sf_dir).select("doc_id", F.translate("text", NARROW, BROAD).alias("text"))
+    more = spark.createDataFrame(WIDE, "id long, given string, want string").select("id", "given")
+    return wide.union(more).select("doc_id", text.nfkc(F.col("text")).alias("text"))
+
+
+#: Phrases, then regional words, then variants; entries that hold each other, some of them in Latin letters.
+SCRIPT = (
+    {"软件": "軟體", "软": "軟", "发": "發", "头发": "頭髮", "th": "þ", "the": "ðe", "ß": "ss", "ea": "ê", "ion": "jon"},
+    {"軟體": "軟件", "ðe r": "ðe R", "êa": "ea", "jon ": "yon "},
+    {"þ": "th", "R": "r"},
+)
+SIMPLE = [(-1, "软件发头发"), (-2, "软a"), (-3, ""), (-4, None)]
 
 
-SCRIPT = {"软件": "軟體", "软": "軟", "发": "發", "头发": "頭髮"}
-SIMPLE = [(1, "软件发头发", "軟體發頭髮"), (2, "软a", "軟a"), (3, "", "")]
+def rewritten_sql(c: str, table: dict[str, str]) -> str:
+    """The longest entry at each place, from left to right: alternatives of a regular expression, the longest first."""
+    entries = sorted(table, key=len, reverse=True)
+    pairs = ", ".join(f"'{k}': '{v}'" for k, v in table.items())
+    return f"array_to_string(list_transform(regexp_extract_all({c}, '(?s){'|'.join(entries)}|.'), lambda x: coalesce(MAP {{{pairs}}}[x], x)), '')"
 
 
-@query(f"SELECT id, want AS text FROM {values(SIMPLE, 'id, given, want')}")
+def _staged() -> str:
+    c = "text"
+    for table in SCRIPT:
+        c = rewritten_sql(c, table)
+    return c
+
+
+@query(f"SELECT doc_id, md5({_staged()}) AS text_md5 FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {values(SIMPLE, 'doc_id, text')})")
 def script_convert(spark, sf_dir):
-    return spark.createDataFrame(SIMPLE, "id int, given string, want string").select("id", text.script_converter(SCRIPT)(F.col("given")).alias("text"))
+    d = docs_of(spark, sf_dir).select("doc_id", "text").union(spark.createDataFrame(SIMPLE, "doc_id long, text string"))
+    return d.select("doc_id", F.md5(text.script_converter(*SCRIPT)(F.col("text"))).alias("text_md5"))
 
 
-SENTENCES = [(1, "明日林木", "明日|林木"), (2, "abc 明月", "abc| |明月"), (3, "我明", "我|明")]
+SENTENCES = [(-1, "明日林木", "明日|林木"), (-2, "abc 明月", "abc| |明月"), (-3, "我明", "我|明")]
 
 
-@query(f"SELECT id, want AS words FROM {values(SENTENCES, 'id, given, want')}")
+@query(rf"SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|(?s:.)'), '|')) AS words_md5 FROM documents UNION ALL SELECT id, md5(want) FROM {values(SENTENCES, 'id, given, want')}")
 def segment_words(spark, sf_dir):
-    cut = text.segmenter(dict(MINI_DICT))
-    return spark.createDataFrame(SENTENCES, "id int, given string, want string").select("id", F.array_join(cut(F.col("given")), "|").alias("words"))
+    more = spark.createDataFrame(SENTENCES, "id long, given string, want string").select("id", "given")
+    d = docs_of(spark, sf_dir).select("doc_id", "text").union(more)
+    return d.select("doc_id", F.md5(F.array_join(text.segmenter(dict(MINI_DICT))(F.col("text")), "|")).alias("words_md5"))
 
 
-PROBES = [("日",), ("a",), ("明日",), ("明日林木月",), ("㐀",), ("\uf900",), ("１２",), ("一二",), ("é1",), ("é",), ("éa",), ("ab",), ("½½",)]
-# What the predicates give, worked out by hand from the code point ranges and the numeric property.
-PREDICATES = [("日", True, True, False, False), ("a", False, False, False, False), ("明日", False, False, True, True), ("明日林木月", False, False, False, True), ("㐀", True, False, False, False), ("\uf900", True, False, False, False), ("１２", False, False, False, False), ("一二", False, False, True, False), ("é1", False, False, False, True), ("é", False, False, False, False), ("éa", False, False, False, True), ("ab", False, False, False, False), ("½½", False, False, False, False)]
+@query()
+def segment_unknown(spark, sf_dir):
+    """All texts in CJK characters, cut by the frequent words and, where these leave single characters, by hidden states learned from all words."""
+    frequent = han.lexicon(spark, sf_dir)
+    hidden = text.hidden_states(han.dictionary(spark, sf_dir).where(F.char_length("word") >= 2))
+    return han.han_docs(spark, sf_dir).select("doc_id", text.segmenter(frequent, hidden)(F.col("text")).alias("words"))
+
 
+PROBES = ["日", "a", "明日", "明日林木月", "㐀", "\uf900", "１２", "一二", "é1", "é", "éa", "ab", "½½"]
+CJK_CLASS = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
+PROBE_WORDS = r"[^\x20\x09-\x0D.,!?]+"
 
-@query(f"SELECT * FROM {values(PREDICATES, 'w, cjk, basic, cjk_word, vocabulary_word')}")
+
+@query(rf"""WITH {han.HAN_SQL}, probes AS (SELECT unnest(regexp_extract_all(text, '{PROBE_WORDS}')) AS w FROM (SELECT text FROM documents UNION ALL SELECT text FROM han) UNION SELECT * FROM {values([(p,) for p in PROBES], 'w')})
+SELECT w, regexp_full_match(w, '{CJK_CLASS}') AS cjk, regexp_full_match(w, '[\x{{4E00}}-\x{{9FFF}}]') AS basic, regexp_full_match(w, '{CJK_CLASS}{{2,4}}') AS cjk_word,
+length(w) >= 2 AND unicode(w) > 127 AND NOT regexp_full_match(w, '[\p{{N}}一二]+') AS vocabulary_word FROM probes""")
 def character_predicates(spark, sf_dir):
+    """Every distinct word of the texts, in Latin and CJK characters."""
     w = F.col("w")
-    return spark.createDataFrame(PROBES, "w string").select("w", text.is_cjk(w).alias("cjk"), text.is_basic_cjk(w).alias("basic"), text.is_cjk_word(w).alias("cjk_word"), text.is_vocabulary_word(w).alias("vocabulary_word"))
+    both = docs_of(spark, sf_dir).select("text").union(han.han_docs(spark, sf_dir).select("text"))
+    words = both.select(F.explode(F.regexp_extract_all("text", F.lit(PROBE_WORDS), F.lit(0))).alias("w"))
+    words = words.union(spark.createDataFrame([(p,) for p in PROBES], "w string")).distinct()
+    return words.select("w", text.is_cjk(w).alias("cjk"), text.is_basic_cjk(w).alias("basic"), text.is_cjk_word(w).alias("cjk_word"), text.is_vocabulary_word(w).alias("vocabulary_word"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN p IS NOT NULL AND starts_with(t, p) THEN substr(t, length(p) + 1) ELSE t END AS added FROM (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT conv_id, turn, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations WHERE text IS NOT NULL))")
@@ -151,46 +184,39 @@ def strip_bos(spark, sf_dir):
 
 # ---------------------------------------------------------------- vocabulary and codes
 
-@query(f"SELECT code, (row_number() OVER (ORDER BY min(ord)) - 1)::INTEGER AS code_index FROM {CODES_SQL} GROUP BY code")
+@query(f"WITH {han.HAN_SQL} SELECT code, (row_number() OVER (ORDER BY min(ord)) - 1)::INTEGER AS code_index FROM shapes GROUP BY code")
 def code_index(spark, sf_dir):
-    return vocab.code_index(codes_of(spark))
+    return vocab.code_index(han.shapes(spark, sf_dir))
 
 
-@query(f"SELECT code, string_agg(char, '' ORDER BY ord) AS chars FROM {CODES_SQL} GROUP BY code")
+@query(f"WITH {han.HAN_SQL} SELECT code, string_agg(char, '' ORDER BY ord) AS chars FROM shapes GROUP BY code")
 def code_candidates(spark, sf_dir):
-    return vocab.code_candidates(codes_of(spark)).select("code", F.array_join("chars", "").alias("chars"))
+    return vocab.code_candidates(han.shapes(spark, sf_dir)).select("code", F.array_join("chars", "").alias("chars"))
 
 
-@query(f"SELECT sha256(string_agg(code, chr(10) ORDER BY o)) AS fingerprint FROM (SELECT code, min(ord) AS o FROM {CODES_SQL} GROUP BY code)")
+@query(f"WITH {han.HAN_SQL} SELECT sha256(string_agg(code, chr(10) ORDER BY o)) AS fingerprint FROM (SELECT code, min(ord) AS o FROM shapes GROUP BY code)")
 def code_fingerprint(spark, sf_dir):
-    return vocab.fingerprint(vocab.code_index(codes_of(spark)), "code_index", "code")
-
+    return vocab.fingerprint(vocab.code_index(han.shapes(spark, sf_dir)), "code_index", "code")
 
-VOCAB_SQL = """
-v AS (SELECT row_number() OVER () - 1 AS token_id, token FROM (
-  SELECT unnest(list_transform(range(0, 26), lambda i: 'cj_' || chr((97 + i)::INTEGER)) || ['[PAD]', '[UNK]', '[BOS]', '[EOS]'] || list_transform(range(32, 127), lambda i: chr(i::INTEGER)) || [chr(10), chr(9)] || list_transform(range(0, 256), lambda i: '<BYTE_' || i || '>')) AS token))"""
 
-
-@query(f"WITH {VOCAB_SQL} SELECT token, token_id::INTEGER AS token_id, CASE WHEN token_id >= 26 THEN token_id - 26 ELSE -1 END::INTEGER AS output_id FROM v")
+@query(f"WITH {han.VOCAB_SQL} SELECT token, token_id::INTEGER AS token_id, CASE WHEN token_id >= 26 THEN token_id - 26 ELSE -1 END::INTEGER AS output_id FROM v")
 def vocabulary(spark, sf_dir):
-    return vocab.vocabulary(spark).fillna(-1, ["output_id"])
+    """The direct tokens with the words of the texts."""
+    return vocab.vocabulary(spark, han.top_words(spark, sf_dir)).fillna(-1, ["output_id"])
 
 
-@query(f"WITH {VOCAB_SQL} SELECT sha256(string_agg(token, chr(10) ORDER BY token_id)) AS fingerprint FROM v")
+@query(f"WITH {han.VOCAB_SQL} SELECT sha256(string_agg(token, chr(10) ORDER BY token_id)) AS fingerprint FROM v")
 def vocabulary_fingerprint(spark, sf_dir):
-    return vocab.fingerprint(vocab.vocabulary(spark), "token_id", "token")
+    return vocab.fingerprint(vocab.vocabulary(spark, han.top_words(spark, sf_dir)), "token_id", "token")
 
 
-OUTPUT_SQL = f"""{VOCAB_SQL},
-codes AS (SELECT code, row_number() OVER (ORDER BY min(ord)) - 1 AS i FROM {CODES_SQL} GROUP BY code),
-outs AS (
-  SELECT token_id - 26 AS output_id, [token_id, 26, 26, 26, 26] AS r FROM v WHERE token_id >= 26
-  UNION ALL SELECT 357 + i, list_transform(range(1, 6), lambda k: CASE WHEN k <= length(code) THEN unicode(code[k]) - 97 ELSE 26 END) FROM codes)"""
+def outputs_of(spark, sf_dir):
+    return vocab.output_vocabulary(spark, han.shapes(spark, sf_dir), han.top_words(spark, sf_dir))
 
 
-@query(f"WITH {OUTPUT_SQL} SELECT output_id::INTEGER AS output_id, (r[1]::BIGINT << 36) | (r[2]::BIGINT << 27) | (r[3]::BIGINT << 18) | (r[4]::BIGINT << 9) | r[5]::BIGINT AS packed FROM outs")
+@query(f"WITH {han.OUTPUT_SQL} SELECT output_id::INTEGER AS output_id, (r[1]::BIGINT << 36) | (r[2]::BIGINT << 27) | (r[3]::BIGINT << 18) | (r[4]::BIGINT << 9) | r[5]::BIGINT AS packed FROM outs")
 def packed_keys(spark, sf_dir):
-    return vocab.output_vocabulary(spark, codes_of(spark)).select("output_id", vocab.pack(F.col("row")).alias("packed"))
+    return outputs_of(spark, sf_dir).select("output_id", vocab.pack(F.col("row")).alias("packed"))
 
 
 @query(f"WITH {IDS_SQL} SELECT id::INTEGER AS output_id, ((id + 26)::BIGINT << 36) | (26::BIGINT << 27) | (26 << 18) | (26 << 9) | 26 AS packed, count(*) AS n FROM toks GROUP BY ALL")
@@ -200,62 +226,78 @@ def packed_lookup(spark, sf_dir):
     return vocab.to_output_ids(rows, vocab.output_vocabulary(spark, codes_of(spark))).select("output_id", vocab.pack(F.col("row")).alias("packed"), "n")
 
 
-@query(f"WITH {OUTPUT_SQL} SELECT output_id::INTEGER AS output_id, array_to_string(CASE WHEN r[1] <= 25 THEN r ELSE [-100, -100, -100, -100, -100] END, ',') AS slots FROM outs")
+@query(f"WITH {han.OUTPUT_SQL} SELECT output_id::INTEGER AS output_id, array_to_string(CASE WHEN r[1] <= 25 THEN r ELSE [-100, -100, -100, -100, -100] END, ',') AS slots FROM outs")
 def slot_targets(spark, sf_dir):
-    return vocab.output_vocabulary(spark, codes_of(spark)).select("output_id", F.array_join(vocab.slot_targets(F.col("row")).cast("array<string>"), ",").alias("slots"))
+    return outputs_of(spark, sf_dir).select("output_id", F.array_join(vocab.slot_targets(F.col("row")).cast("array<string>"), ",").alias("slots"))
 
 
-DEMO = [("我是abc123🥰", "hqi|是|a|b|c|1|2|3|🥰"), ("鬱日", "ddabc|a"), ("", "")]
+def each_char_sql(c: str, of: str) -> str:
+    """A list of ``of`` for each character ``c`` of the texts in CJK characters."""
+    return f"(SELECT doc_id, list({of} ORDER BY p) AS l FROM (SELECT doc_id, unnest(s) AS {c}, generate_subscripts(s, 1) AS p FROM (SELECT doc_id, string_split(text, '') AS s FROM han)) LEFT JOIN shapes ON char = {c} GROUP BY doc_id)"
 
 
-@query(f"SELECT * FROM {values([(a, b) for a, b in DEMO], 'given, spelled')}")
+@query(f"WITH {han.HAN_SQL} SELECT doc_id, md5(array_to_string(l, '|')) AS spelled_md5 FROM {each_char_sql('c', 'coalesce(code, c)')}")
 def symbol_encode(spark, sf_dir):
-    d = spark.createDataFrame(DEMO, "given string, want string")
-    symbols = decode.symbols_of(F.col("given"), {c: code for _, c, code in MINI_CODES})
+    """All texts in CJK characters: each character as the letters of its code, or itself."""
+    symbols = decode.symbols_of(F.col("text"), dict(han.shape_list(spark, sf_dir)))
     spelled = F.transform(symbols, lambda s: F.when(F.size(s) == 5, decode.candidates_of_symbols(s)).otherwise(s[0]))
-    return d.select("given", F.array_join(spelled, "|").alias("spelled"))
+    return han.han_docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(spelled, "|")).alias("spelled_md5"))
 
 
-@query(f"""WITH f AS (SELECT doc_id, substr(coalesce(text, ''), 1, 1) AS c FROM documents WHERE coalesce(text, '') <> ''),
-r AS (SELECT doc_id, CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN [unicode(c) - 2] WHEN c = chr(10) THEN [125] WHEN c = chr(9) THEN [126] ELSE list_transform(regexp_extract_all(hex(c), '..'), lambda h: ('0x' || h)::INTEGER + 127) END AS t FROM f)
-SELECT doc_id, array_to_string(list_transform(t, lambda i: i || ',26,26,26,26'), ';') AS rows FROM r UNION ALL SELECT -1, '0,1,26,26,26'""")
+@query(f"""WITH {han.HAN_SQL}, pieces AS (SELECT doc_id, unnest(s) AS w, generate_subscripts(s, 1) AS p FROM (SELECT doc_id, string_split(text, ' ') AS s FROM documents)),
+r AS (SELECT doc_id, p, CASE WHEN w = '' THEN '' WHEN length(w) = 1 AND unicode(w) BETWEEN 32 AND 126 THEN (unicode(w) - 2)::VARCHAR WHEN w = chr(10) THEN '125' ELSE array_to_string(list_transform(regexp_extract_all(hex(w), '..'), lambda h: (('0x' || h)::INTEGER + 127)::VARCHAR), ';') END AS t FROM pieces)
+SELECT doc_id, md5(string_agg(t, '|' ORDER BY p)) AS rows_md5 FROM r GROUP BY doc_id UNION ALL SELECT -1, md5('0,1,26,26,26')""")
 def symbol_rows(spark, sf_dir):
-    """The first character of each document as a list of one symbol, and a code of five."""
-    first = docs_of(spark, sf_dir).where(F.coalesce("text", F.lit("")) != "").select("doc_id", F.array(F.substring("text", 1, 1)).alias("symbols"))
-    d = first.union(spark.createDataFrame([(-1, ["cj_a", "cj_b", "[PAD]", "[PAD]", "[PAD]"])], "doc_id long, symbols array<string>"))
-    return d.select("doc_id", F.array_join(F.transform(decode.rows_of_symbols(F.col("symbols")), lambda r: F.array_join(r.cast("array<string>"), ",")), ";").alias("rows"))
+    """Every word between blanks of whole texts as a list of one symbol: a token, or its bytes; and a code of five."""
+    words = docs_of(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    d = words.select("doc_id", "p", F.when(F.col("w") == "", F.array().cast("array<string>")).otherwise(F.array("w")).alias("symbols"))
+    first = d.select("doc_id", "p", F.array_join(F.transform(decode.rows_of_symbols(F.col("symbols")), lambda r: r[0].cast("string")), ";").alias("t"))
+    of_code = spark.createDataFrame([(-1, ["cj_a", "cj_b", "[PAD]", "[PAD]", "[PAD]"])], "doc_id long, symbols array<string>")
+    of_code = of_code.select("doc_id", F.md5(F.array_join(decode.rows_of_symbols(F.col("symbols"))[0].cast("array<string>"), ",")).alias("rows_md5"))
+    whole = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("t"))
+    return whole.select("doc_id", F.md5(F.array_join(F.transform("t", lambda x: x["t"]), "|")).alias("rows_md5")).union(of_code)
 
 
-@query(f"SELECT char, string_agg(other, '|' ORDER BY o) AS candidates FROM (SELECT a.char, b.char AS other, b.ord AS o FROM (SELECT * FROM {CODES_SQL}) a JOIN (SELECT * FROM {CODES_SQL}) b ON a.code = b.code) GROUP BY char")
+@query(f"WITH {han.HAN_SQL} SELECT a.char, any_value(c.freq)::BIGINT AS n, string_agg(b.char, '|' ORDER BY b.ord) AS candidates FROM shapes a JOIN shapes b ON a.code = b.code JOIN chars c ON c.word = a.char GROUP BY a.char")
 def symbol_candidates(spark, sf_dir):
-    """Every character of the code table, spelled as symbols and looked up again."""
-    table = {c: code for _, c, code in MINI_CODES}
-    d = codes_of(spark).select("char", decode.symbols_of(F.col("char"), table)[0].alias("symbols"))
-    return decode.candidates_of_code(d, codes_of(spark)).select("char", F.array_join("candidates", "|").alias("candidates"))
+    """Every character of the texts, spelled as symbols and looked up again, with how often it is there."""
+    d = han.chars(spark, sf_dir).select(F.col("word").alias("char"), F.col("freq").alias("n"), decode.symbols_of(F.col("word"), dict(han.shape_list(spark, sf_dir)))[0].alias("symbols"))
+    return decode.candidates_of_code(d, han.shapes(spark, sf_dir)).select("char", "n", F.array_join("candidates", "|").alias("candidates"))
+
 
+HAN_ID_SQL = f"""CASE WHEN code IS NOT NULL THEN [357 + (SELECT count(DISTINCT code) FROM shapes x WHERE x.ord < (SELECT min(ord) FROM shapes y WHERE y.code = shapes.code))]
+WHEN unicode(c) BETWEEN 32 AND 126 THEN [unicode(c) - 28] WHEN c = chr(10) THEN [99] WHEN c = chr(9) THEN [100] ELSE list_transform(regexp_extract_all(hex(c), '..'), lambda h: 101 + ('0x' || h)::INTEGER) END"""
+HAN_IDS_SQL = f"""{han.HAN_SQL},
+of_char AS (SELECT c, {HAN_ID_SQL} AS ids FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM han) LEFT JOIN shapes ON char = c),
+han_ids AS (SELECT doc_id, flatten(list(ids ORDER BY p)) AS ids FROM (SELECT doc_id, unnest(s) AS c, generate_subscripts(s, 1) AS p FROM (SELECT doc_id, string_split(text, '') AS s FROM han)) JOIN of_char USING (c) GROUP BY doc_id)"""
 
-CJK_TEXT = [(1, "我明abc日", "362,359,69,70,71,357"), (2, "是", "331,253,276"), (3, "🥰\n", "341,260,266,277,99"), (4, "\x01", "102")]
 
+def han_ids(spark, sf_dir):
+    """(doc_id, ids): output ids of the texts in CJK characters, by shape code where there is one."""
+    return readers.spread(han.han_docs(spark, sf_dir)).select("doc_id", encode.encoder(han.shape_list(spark, sf_dir))(F.col("doc_id"), F.col("text")).alias("ids"))
 
-@query(f"SELECT id, ids FROM {values(CJK_TEXT, 'id, given, ids')}")
+
+@query(f"WITH {HAN_IDS_SQL} SELECT doc_id, md5(array_to_string(ids, ',')) AS ids_md5 FROM han_ids")
 def shape_code_ids(spark, sf_dir):
-    e = encode.encoder([(c, code) for _, c, code in MINI_CODES], freq=dict(MINI_DICT))
-    return spark.createDataFrame(CJK_TEXT, "id int, given string, want string").select("id", F.array_join(e(F.col("id").cast("string"), F.col("given")).cast("array<string>"), ",").alias("ids"))
+    return han_ids(spark, sf_dir).select("doc_id", joined(F.col("ids").cast("array<string>")).alias("ids_md5"))
 
 
-#: A word of the vocabulary whose coin never or always keeps it whole, and its ids.
-KEPT = [(1, 0.0, "360,358"), (2, 1.0, "357")]
+@query(f"WITH {HAN_IDS_SQL} SELECT doc_id, md5(coalesce(string_agg(ids[1]::VARCHAR, ',' ORDER BY p) FILTER (len(ids) = 1), '')) AS ids_md5 FROM (SELECT doc_id, unnest(s) AS c, generate_subscripts(s, 1) AS p FROM (SELECT doc_id, string_split(text, '') AS s FROM han)) JOIN of_char USING (c) GROUP BY doc_id")
+def direct_ids(spark, sf_dir):
+    """One id for each character, which must have one: letters with accents have none and are taken out first."""
+    known = F.regexp_replace("text", f"[^ -~\n\t{han.HAN[0]}-{han.HAN[-1]}]", "")
+    ids = encode.strict_ids(known, han.shape_list(spark, sf_dir))
+    return han.han_docs(spark, sf_dir).select("doc_id", joined(ids.cast("array<string>")).alias("ids_md5"))
 
 
-@query(f"SELECT id, ids FROM {values(KEPT, 'id, keep, ids')}")
+@query(f"WITH {HAN_IDS_SQL}, w AS (SELECT word, (331 + 26 + place)::VARCHAR AS whole FROM words), s AS (SELECT word, string_agg(c, ',' ORDER BY p) AS parts FROM (SELECT word, unnest(string_split(word, '')) AS c0, generate_subscripts(string_split(word, ''), 1) AS p FROM words) JOIN (SELECT c AS c0, (ids[1] + (SELECT count(*) FROM words))::VARCHAR AS c FROM of_char) USING (c0) GROUP BY word) SELECT word, whole, parts FROM w JOIN s USING (word)")
 def word_tokens(spark, sf_dir):
-    """A word of the vocabulary as characters, and whole."""
-    out = None
-    for i, keep, _ in KEPT:
-        e = encode.encoder([(c, code) for _, c, code in MINI_CODES], ["明日"], dict(MINI_DICT), keep)
-        d = spark.createDataFrame([(i, "明日")], "id int, given string").select("id", F.array_join(e(F.col("id").cast("string"), F.col("given")).cast("array<string>"), ",").alias("ids"))
-        out = d if out is None else out.union(d)
-    return out
+    """Each word of the vocabulary as a whole token, by a coin that always keeps it, and as its characters."""
+    words = han.top_words(spark, sf_dir)
+    table = han.shape_list(spark, sf_dir)
+    spelled = lambda keep: F.array_join(encode.encoder(table, words, None, keep)(F.col("word"), F.col("word")).cast("array<string>"), ",")
+    d = wordfreq.top_words(wordfreq.word_counts(han.runs(spark, sf_dir).select(F.lit(0).alias("source_ord"), "doc_id", "words"))).select("word")
+    return d.select("word", spelled(1.0).alias("whole"), spelled(0.0).alias("parts"))
 
 
 # ---------------------------------------------------------------- tokens, offsets, windows
@@ -502,9 +544,18 @@ def peek(spark, sf_dir):
     return readers.first_row(docs_of(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT i::INTEGER AS ord, s AS source, w::DOUBLE AS weight, w / {sum(WEIGHTS.values())}::DOUBLE AS probability FROM {values([(i, s, w) for i, (s, w) in enumerate(WEIGHTS.items())], 'i, s, w')}")
+def source_weights(spark, sf_dir) -> dict[str, float]:
+    """Documents of each source as its weight in a mix."""
+    n = docs_of(spark, sf_dir).where("source is not null").groupBy("source").count().orderBy("source").collect()
+    return {r["source"]: float(r["count"]) for r in n}
+
+
+SOURCE_WEIGHTS_SQL = "SELECT (row_number() OVER (ORDER BY source) - 1)::INTEGER AS ord, source, count(*)::DOUBLE AS weight FROM documents WHERE source IS NOT NULL GROUP BY source"
+
+
+@query(f"SELECT ord, source, weight, weight / sum(weight) OVER () AS probability FROM ({SOURCE_WEIGHTS_SQL})")
 def mix_weights(spark, sf_dir):
-    return mix.mix_weights(spark, WEIGHTS)
+    return mix.mix_weights(spark, source_weights(spark, sf_dir))
 
 
 def _cumulative() -> str:
@@ -548,9 +599,9 @@ def worker_shards(spark, sf_dir):
     return readers.worker(docs_of(spark, sf_dir).select("doc_id"), 3)
 
 
-@query(f"SELECT s AS source, greatest(1, round_even(10000 * w / {sum(QUOTA.values())!r}::DOUBLE, 0))::BIGINT AS quota FROM {values(list(QUOTA.items()), 's, w')}".replace("10000 * w", "10000.0::DOUBLE * w::DOUBLE"))
+@query(f"SELECT source, greatest(1, round_even(10000.0::DOUBLE * weight / sum(weight) OVER (), 0))::BIGINT AS quota FROM ({SOURCE_WEIGHTS_SQL})")
 def sample_quota(spark, sf_dir):
-    return mix.sample_quota(spark, QUOTA)
+    return mix.sample_quota(spark, source_weights(spark, sf_dir))
 
 
 @query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents), q AS (SELECT * FROM (VALUES ('src0', 8), ('src1', 4), ('src2', 2), ('src3', 6)) t(source, quota)) SELECT doc_id, source, rank FROM r JOIN q USING (source) WHERE rank < quota")
@@ -569,43 +620,51 @@ def word_topk(spark, sf_dir):
     return wordfreq.top_words(wordfreq.word_counts(d))
 
 
-CHAR_RANK_SQL = f"SELECT word AS char, (row_number() OVER (ORDER BY freq DESC, word) - 1)::INTEGER AS rank FROM {DICT_SQL} WHERE length(word) = 1 AND unicode(word) BETWEEN 13312 AND 64255 AND freq > 0"
-WORD_RANK_SQL = f"SELECT word, freq, (row_number() OVER (ORDER BY freq DESC, length(word) DESC, word) - 1)::INTEGER AS rank FROM {DICT_SQL} WHERE length(word) BETWEEN 2 AND 4 AND unicode(word) > 127 AND freq > 0"
+CHAR_RANK_SQL = "SELECT word AS char, (row_number() OVER (ORDER BY freq DESC, word) - 1)::INTEGER AS rank FROM dict WHERE length(word) = 1 QUALIFY rank < 3500"
+WORD_RANK_SQL = "SELECT word, freq, (row_number() OVER (ORDER BY freq DESC, length(word) DESC, word) - 1)::INTEGER AS rank FROM dict WHERE length(word) BETWEEN 2 AND 4 QUALIFY rank < 20000"
 
 
-@query(CHAR_RANK_SQL)
+@query(f"WITH {han.HAN_SQL} {CHAR_RANK_SQL}")
 def char_rank(spark, sf_dir):
-    return wordfreq.char_rank(dict_of(spark))
+    return wordfreq.char_rank(han.dictionary(spark, sf_dir))
 
 
-@query(WORD_RANK_SQL)
+@query(f"WITH {han.HAN_SQL} {WORD_RANK_SQL}")
 def word_rank(spark, sf_dir):
-    return wordfreq.word_rank(dict_of(spark))
+    return wordfreq.word_rank(han.dictionary(spark, sf_dir))
 
 
-@query(f"SELECT right(word, 1) AS char, string_agg(word || ':' || rank, ',' ORDER BY rank) AS words FROM ({WORD_RANK_SQL}) GROUP BY ALL")
+@query(f"WITH {han.HAN_SQL} SELECT right(word, 1) AS char, string_agg(word || ':' || rank, ',' ORDER BY rank) AS words FROM ({WORD_RANK_SQL}) GROUP BY ALL")
 def words_by_last_char(spark, sf_dir):
-    w = wordfreq.words_by_last_char(wordfreq.word_rank(dict_of(spark)))
+    w = wordfreq.words_by_last_char(wordfreq.word_rank(han.dictionary(spark, sf_dir)))
     return w.select("char", F.array_join(F.transform("words", lambda x: F.concat(x["word"], F.lit(":"), x["rank"].cast("string"))), ",").alias("words"))
 
 
 # ---------------------------------------------------------------- decoding
 
-@query(f"WITH {OUTPUT_SQL} SELECT output_id::INTEGER AS output_id, CASE WHEN output_id < 357 THEN (SELECT token FROM v WHERE v.token_id = output_id + 26) END AS token, (SELECT string_agg(char, '' ORDER BY ord) FROM {CODES_SQL} JOIN codes USING (code) WHERE codes.i = output_id - 357) AS candidates FROM outs")
+@query(f"""WITH {HAN_IDS_SQL}, used AS (SELECT id::INTEGER AS output_id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM han_ids) GROUP BY ALL),
+direct AS (SELECT row_number() OVER () - 27 AS i, token FROM (SELECT unnest(list_transform(range(0, 26), lambda i: '') || ['[PAD]', '[UNK]', '[BOS]', '[EOS]'] || list_transform(range(32, 127), lambda i: chr(i::INTEGER)) || [chr(10), chr(9)] || list_transform(range(0, 256), lambda i: '<BYTE_' || i || '>')) AS token)),
+coded AS (SELECT 357 + row_number() OVER (ORDER BY min(ord)) - 1 AS i, string_agg(char, '' ORDER BY ord) AS candidates FROM shapes GROUP BY code)
+SELECT output_id, n, token, candidates FROM used LEFT JOIN direct ON direct.i = output_id LEFT JOIN coded ON coded.i = output_id""")
 def id_decode(spark, sf_dir):
-    outs = vocab.output_vocabulary(spark, codes_of(spark))
-    return decode.decoded(outs.select("output_id"), outs, codes_of(spark)).select("output_id", "token", F.array_join("candidates", "").alias("candidates"))
+    """Every output id that the texts use, with how often, as a token or as the characters of its code."""
+    codes = han.shapes(spark, sf_dir)
+    used = han_ids(spark, sf_dir).select(F.explode("ids").alias("output_id")).groupBy("output_id").agg(F.count(F.lit(1)).alias("n"))
+    d = decode.decoded(used, vocab.output_vocabulary(spark, codes), codes)
+    return d.select("output_id", "n", "token", F.array_join("candidates", "").alias("candidates"))
 
 
-RUNS = [(1, [341, 260, 266, 277, 37, 341]), (2, [296, 270, 99]), (3, [352])]
+RUNS = [(-1, [341, 260, 266, 277, 37, 341]), (-2, [296, 270, 99]), (-3, [352])]
 
 
-@query(f"SELECT * FROM {values([(1, '🥰A�'), (2, 'é' + chr(10)), (3, '�')], 'doc_id, text')}")
+@query(f"SELECT doc_id, md5(text) AS text_md5 FROM (SELECT doc_id, {CLEAN_SQL} AS text FROM documents WHERE coalesce(text, '') <> '' UNION ALL SELECT * FROM {values([(-1, '🥰A�'), (-2, 'é' + chr(10)), (-3, '�')], 'doc_id, text')})")
 def merge_bytes(spark, sf_dir):
-    d = spark.createDataFrame(RUNS, "doc_id int, ids array<int>").select("doc_id", F.posexplode("ids").alias("pos", "output_id"))
-    d = d.join(vocab.output_vocabulary(spark).select("output_id", "label"), "output_id")
-    m = decode.merged_bytes(d)
-    return m.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("text"))
+    """The ids of all texts as rows, those of bytes put together again; and runs that are no UTF-8."""
+    d = readers.spread(docs_of(spark, sf_dir).select("doc_id", "text"))
+    ids = d.select("doc_id", encode.encoder()(F.col("doc_id"), text.clean(F.col("text"))).alias("ids")).union(spark.createDataFrame(RUNS, "doc_id long, ids array<int>"))
+    rows = ids.select("doc_id", F.posexplode("ids").alias("pos", "output_id")).join(F.broadcast(vocab.output_vocabulary(spark).select("output_id", "label")), "output_id")
+    m = decode.merged_bytes(rows)
+    return m.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")).alias("text_md5"))
 
 
 @query(f"SELECT doc_id, md5({CLEAN_SQL}) AS text_md5 FROM documents")
@@ -615,47 +674,73 @@ def ascii_roundtrip(spark, sf_dir):
     return d.select("doc_id", F.md5(decode.detokenizer([], {})(F.col("ids"))).alias("text_md5"))
 
 
-READ = [(1, "明日", "明日"), (2, "曰", "日"), (3, "林木", "林木"), (4, "a曰b", "a日b"), (5, "明月🥰", "明月🥰")]
+READ = [(-1, "明日", "明日"), (-2, "曰", "日"), (-3, "林木", "林木"), (-4, "a曰b", "a日b"), (-5, "明月🥰", "明月🥰")]
 
 
-def _ids(spark):
-    e = encode.encoder([(c, code) for _, c, code in MINI_CODES])
-    return spark.createDataFrame(READ, "id int, given string, want string").select("id", e(F.col("id").cast("string"), F.col("given")).alias("ids"))
+def read_sql(of: str) -> str:
+    return f"WITH {han.HAN_SQL} SELECT doc_id, md5({of}) AS text_md5 FROM (SELECT doc_id, text FROM han UNION ALL SELECT id, want FROM {values(READ, 'id, given, want')})"
 
 
-@query(f"SELECT id, want AS text FROM {values(READ, 'id, given, want')}")
-def beam_decode(spark, sf_dir):
-    d = decode.detokenizer([(c, code) for _, c, code in MINI_CODES], dict(MINI_DICT))
-    return _ids(spark).select("id", d(F.col("ids")).alias("text"))
+def read_back(spark, sf_dir, bracketed: bool) -> DataFrame:
+    """All texts in CJK characters by codes that no two share, so that there is one reading; and rows whose codes are shared."""
+    own = [(c, c_) for c, c_ in zip(han.HAN, han.LETTERS)]
+    d = readers.spread(han.han_docs(spark, sf_dir)).select("doc_id", encode.encoder(own)(F.col("doc_id"), F.col("text")).alias("ids"))
+    d = d.select("doc_id", F.md5(decode.detokenizer(own, han.lexicon(spark, sf_dir), bracketed=bracketed)(F.col("ids"))).alias("text_md5"))
+    mini = [(c, code) for _, c, code in MINI_CODES]
+    more = spark.createDataFrame(READ, "id long, given string, want string").select(F.col("id").alias("doc_id"), encode.encoder(mini)(F.col("id"), F.col("given")).alias("ids"))
+    return d.union(more.select("doc_id", F.md5(decode.detokenizer(mini, dict(MINI_DICT), bracketed=bracketed)(F.col("ids"))).alias("text_md5")))
 
 
-@query(f"SELECT id, '[' || array_to_string(string_split_regex(want, ''), '][') || ']' AS text FROM {values(READ, 'id, given, want')}".replace("string_split_regex(want, '')", "regexp_extract_all(want, '.')"))
-def beam_decode_bracketed(spark, sf_dir):
-    d = decode.detokenizer([(c, code) for _, c, code in MINI_CODES], dict(MINI_DICT), bracketed=True)
-    return _ids(spark).select("id", d(F.col("ids")).alias("text"))
+@query(read_sql("text"))
+def beam_decode(spark, sf_dir):
+    return read_back(spark, sf_dir, False)
 
 
-CONTEXTS = [(1, "x明", "日", "2,30,0"), (2, "x", "日", "0,0,0"), (3, "林", "木", "2,20,-2")]
+@query(read_sql("coalesce(array_to_string(list_transform(regexp_extract_all(text, '[^ -~\n\t" + f"{han.HAN[0]}-{han.HAN[-1]}{''.join(c for _, c, _ in MINI_CODES)}" + "]+|(?s:.)'), lambda c: '[' || c || ']'), ''), '')"))
+def beam_decode_bracketed(spark, sf_dir):
+    return read_back(spark, sf_dir, True)
 
 
-@query(f"SELECT id, score FROM {values([(i, s) for i, _, _, s in CONTEXTS], 'id, score')}")
-def word_score(spark, sf_dir):
-    ranked = wordfreq.words_by_last_char(wordfreq.word_rank(dict_of(spark)).withColumn("rank", F.col("rank")))
-    c = spark.createDataFrame([(i, a, b) for i, a, b, _ in CONTEXTS], "id int, context string, char string").join(ranked, "char", "left")
-    empty = F.array().cast(ranked.schema["words"].dataType)
-    return c.select("id", F.array_join(decode.best_word(F.col("context"), F.coalesce("words", empty)).cast("array<string>"), ",").alias("score"))
+#: Conversations in CJK characters: every character after those before it in its text.
+TALK_SQL = f"{han.HAN_SQL}, talk AS (SELECT conv_id, turn, translate(text, '{han.LETTERS}', '{han.HAN}') AS text FROM conversations WHERE text IS NOT NULL)"
 
 
-TOKENS = [(1, ["a", "bc", "d", "e"], 2, "de"), (2, ["a", "bc"], 12, "a"), (3, ["x", "y"], 0, "xy")]
+def talk(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null").select("conv_id", "turn", han.written(F.col("text")).alias("text"))
 
 
-@query(f"SELECT * FROM {values([(i, w) for i, _, _, w in TOKENS], 'id, context')}")
+@query(f"""WITH {TALK_SQL}, spots AS (SELECT conv_id, turn, unnest(range(1, length(text) + 1)) AS pos, text FROM talk),
+probes AS (SELECT conv_id, turn, pos, k, substr(text, pos - k, k + 1) AS word FROM spots, range(1, 4) r(k) WHERE pos > k),
+hit AS (SELECT conv_id, turn, pos, word, freq, rank FROM probes JOIN ({WORD_RANK_SQL}) USING (word)),
+best AS (SELECT conv_id, turn, pos, first(length(word)::VARCHAR || ',' || freq || ',' || -rank ORDER BY length(word) DESC, freq DESC, rank) AS score FROM hit GROUP BY ALL)
+SELECT conv_id, turn, count(*) AS n, md5(string_agg(pos || ':' || score, ';' ORDER BY pos)) AS scores_md5 FROM best GROUP BY ALL""")
+def word_score(spark, sf_dir):
+    """At every place of all conversations the best ranked word that ends there; places where none does score nothing."""
+    index = suffixes.word_index(wordfreq.word_rank(han.dictionary(spark, sf_dir)))
+    best = suffixes.best_words(suffixes.places(talk(spark, sf_dir), ("conv_id", "turn")), index, ("conv_id", "turn"))
+    spelled = F.concat_ws(":", "pos", F.concat_ws(",", "length", "freq", -F.col("rank")))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("pos", spelled.alias("s")))), lambda x: x["s"])
+    return best.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(each, ";")).alias("scores_md5"))
+
+
+@query(f"""WITH {TALK_SQL}, spots AS (SELECT conv_id, turn, unnest(range(1, length(text) + 1)) AS pos, text FROM talk),
+probes AS (SELECT conv_id, turn, pos, substr(text, pos - k, k + 1) AS word FROM spots, range(0, 13) r(k) WHERE pos > k),
+best AS (SELECT conv_id, turn, pos, max(freq) AS freq FROM probes JOIN dict USING (word) GROUP BY ALL)
+SELECT conv_id, turn, count(*) AS n, md5(string_agg(pos || ':' || freq, ';' ORDER BY pos)) AS freqs_md5 FROM best GROUP BY ALL""")
+def suffix_frequency(spark, sf_dir):
+    """At every place the greatest frequency of any word of the dictionary that ends there, with up to twelve characters before it."""
+    best = suffixes.best_frequency(suffixes.places(talk(spark, sf_dir), ("conv_id", "turn")), han.dictionary(spark, sf_dir), ("conv_id", "turn"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(":", "pos", "freq").alias("s")))), lambda x: x["s"])
+    return best.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(each, ";")).alias("freqs_md5"))
+
+
+@query("""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+|(?s:.)') AS parts FROM documents)
+SELECT doc_id, n AS most, array_to_string(CASE WHEN n > 0 THEN (list_filter(parts, lambda x: length(x) = 1))[-n:] ELSE list_filter(parts, lambda x: length(x) = 1) END, '') AS context FROM p, (VALUES (12), (2), (0)) c(n)""")
 def token_context(spark, sf_dir):
-    d = spark.createDataFrame([(i, t) for i, t, _, _ in TOKENS], "id int, parts array<string>")
-    c = F.lit(None).cast("string")
-    for i, _, n, _ in TOKENS:
-        c = F.when(F.col("id") == i, decode.context_of(F.col("parts"), n)).otherwise(c)
-    return d.select("id", c.alias("context"))
+    """The last single characters among the words and marks of each text, twelve, two, or all of them."""
+    parts = docs_of(spark, sf_dir).select("doc_id", F.regexp_extract_all("text", F.lit("[a-z]+|(?s:.)"), F.lit(0)).alias("parts"))
+    each = [parts.select("doc_id", F.lit(n).alias("most"), decode.context_of(F.col("parts"), n).alias("context")) for n in (12, 2, 0)]
+    return each[0].union(each[1]).union(each[2])
 
 
 # ---------------------------------------------------------------- sampling and numeric
@@ -720,14 +805,24 @@ def eos_stop(spark, sf_dir):
     return sampling.until_eos(s, most=40)
 
 
-@query("SELECT range AS step, round(CASE WHEN true THEN 0.0003::DOUBLE * (0.1 + 0.45 * (1 + cos(3.141592653589793::DOUBLE * range / 2000))) END, 12) AS lr FROM range(0, 2001)")
+STEPS_SQL = f"steps AS (SELECT unnest(range(0, (SELECT greatest(0, (n - 257) // 256 + 1)::BIGINT FROM n) + 1)) AS s, (SELECT greatest(0, (n - 257) // 256 + 1)::BIGINT FROM n) AS total)"
+
+
+def steps_of(spark, sf_dir) -> int:
+    """Windows that all texts give, each of them a step."""
+    return max(0, (total_rows(spark, sf_dir) - 257) // 256 + 1)
+
+
+@query(f"WITH {IDS_SQL}, {STEPS_SQL} SELECT s AS step, round(0.0003::DOUBLE * (0.1 + 0.45 * (1 + cos(3.141592653589793::DOUBLE * s / total))), 12) AS lr FROM steps")
 def lr_schedule(spark, sf_dir):
-    return spark.range(2001).select(F.col("id").alias("step"), F.round(sampling.learning_rate(F.col("id"), 2000), 12).alias("lr"))
+    """The rate at each step of a run over all windows of the texts."""
+    n = steps_of(spark, sf_dir)
+    return spark.range(n + 1).select(F.col("id").alias("step"), F.round(sampling.learning_rate(F.col("id"), n), 12).alias("lr"))
 
 
-@query("SELECT range AS batch, ((range + 1) // 8) AS global_step, (range + 1) % 8 = 0 AS updates, (range + 1) % 8 = 0 AND ((range + 1) // 8) % 10 = 0 AS logs, (range + 1) % 8 = 0 AND ((range + 1) // 8) % 50 = 0 AS saves FROM range(0, 2000)")
+@query(f"WITH {IDS_SQL}, {STEPS_SQL} SELECT s AS batch, ((s + 1) // 8) AS global_step, (s + 1) % 8 = 0 AS updates, (s + 1) % 8 = 0 AND ((s + 1) // 8) % 10 = 0 AS logs, (s + 1) % 8 = 0 AND ((s + 1) // 8) % 50 = 0 AS saves FROM steps")
 def step_flags(spark, sf_dir):
-    return sampling.step_flags(spark.range(2000).select(F.col("id").alias("batch")), 8, 10, 50)
+    return sampling.step_flags(spark.range(steps_of(spark, sf_dir) + 1).select(F.col("id").alias("batch")), 8, 10, 50)
 
 
 WEIGHED = "list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * i))"
