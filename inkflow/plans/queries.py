@@ -11,7 +11,7 @@ from inkflow.functions import encode, text, vocab
 from inkflow.operators import decode, model, numeric, sampling, suffixes, wordfreq
 from inkflow.plans import han, jobs, sequence
 from inkflow.plans.lineage import scratch
-from inkflow.sources import mix, readers, shards
+from inkflow.sources import mix, permute, readers, shards
 from inkflow.streaming import mix as stream_mix
 from inkflow.streaming import windows as streaming
 
@@ -398,6 +398,30 @@ def minibatches(spark, sf_dir):
     return b.select("batch_id", "row", joined("x").alias("x_md5"), joined("target").alias("target_md5"))
 
 
+def _feistel_sql(x: str, source: str) -> str:
+    """Rows of ``source`` with ``x`` sent through the rounds; ``a`` and ``b`` are the sides."""
+    rows = f"(SELECT *, {x} // b AS l, {x} % b AS r FROM {source})"
+    f = lambda i, c: f"('0x' || substr(md5('67:' || {i} || ':' || {c}), 1, 8))::BIGINT"
+    for i in range(permute.ROUNDS):
+        rows = f"(SELECT * REPLACE ({f'(l + {f(i, chr(114))}) % a AS l' if i % 2 == 0 else f'(r + {f(i, chr(108))}) % b AS r'}) FROM {rows})"
+    return rows
+
+
+#: Places of all windows: the sides are found as they are in the library, and a number that lands outside goes on.
+PLACES_SQL = f"""c AS (SELECT greatest(0, (n - 257) // 256 + 1)::BIGINT AS k FROM n),
+side AS (SELECT a, (k + a - 1) // a AS b, k FROM (SELECT k, unnest(range(greatest(1, floor(sqrt(k))::BIGINT), greatest(1, floor(sqrt(k))::BIGINT) + {permute.TRIED})) AS a FROM c) ORDER BY a * b, a LIMIT 1),
+walk AS (SELECT place, place AS x, 0 AS step, a, b, k FROM (SELECT unnest(range(0, k)) AS place, a, b, k FROM side)
+  UNION ALL SELECT place, l * b + r AS x, step + 1 AS step, a, b, k FROM {_feistel_sql('x', '(SELECT * FROM walk WHERE step = 0 OR x >= k)')})"""
+
+
+@query(f"WITH RECURSIVE {IDS_SQL}, {PLACES_SQL}, plain AS ({windows_sql(256, 256)}) SELECT place // 128 AS batch_id, place % 128 AS row, x_md5, target_md5 FROM walk JOIN plain ON window_id = x WHERE step > 0 AND x < k")
+def minibatches_shuffled(spark, sf_dir):
+    """All windows in the batches of a seeded order, each window placed by itself."""
+    n = max(0, (total_rows(spark, sf_dir) - 257) // 256 + 1)
+    b = permute.shuffled_minibatches(sequence.windows(placed(spark, sf_dir)), n)
+    return b.select("batch_id", "row", joined("x").alias("x_md5"), joined("target").alias("target_md5"))
+
+
 @query(f"SELECT batch_id, count(*) AS n, md5(string_agg(x_md5, ',' ORDER BY row)) AS xs_md5 FROM ({ORACLES['minibatches']}) GROUP BY batch_id")
 def collated_batches(spark, sf_dir):
     c = readers.collated(readers.minibatches(sequence.windows(placed(spark, sf_dir))))
@@ -850,16 +874,10 @@ def rotary(spark, sf_dir):
 
 @query("WITH q AS (SELECT vec_id AS output_id, embedding AS w FROM embeddings WHERE vec_id % 100 = 0) SELECT vec_id, output_id, round(list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i]::DOUBLE * embedding[i]::DOUBLE)), 6) AS logit FROM embeddings, q")
 def dot_logits(spark, sf_dir):
-    """Every vector against the output rows, those whose id 100 divides, in blocks of 64."""
+    """Every vector against the output rows, those whose id 100 divides."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    asked = readers.numbered(e.where("vec_id % 100 = 0"), "vec_id").withColumn("block", F.floor(F.col("pos") / 64))
-    out = None
-    for k in range(asked.agg(F.max("block")).first()[0] + 1 if not asked.isEmpty() else 0):
-        rows = asked.where(F.col("block") == k).collect()
-        held = F.array(*[F.struct(F.lit(r["vec_id"]).cast("long").alias("output_id"), F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("w")) for r in rows])
-        part = e.select("vec_id", "embedding", F.explode(held).alias("o")).select("vec_id", "o.output_id", F.round(numeric.dot(F.col("embedding"), F.col("o.w")), 6).alias("logit"))
-        out = part if out is None else out.union(part)
-    return out if out is not None else e.select("vec_id", F.col("vec_id").alias("output_id"), F.lit(0.0).alias("logit")).limit(0)
+    logits = numeric.logits(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("output_id"), F.col("embedding").alias("row")), "vec_id", "embedding")
+    return logits.select("vec_id", "output_id", F.round("logit", 6).alias("logit"))
 
 
 @query(f"WITH {LOGITS_SQL}, t AS (SELECT vec_id AS step, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE (label * 3)::INTEGER END AS target FROM embeddings), l AS (SELECT step, ln(sum(exp(logit))) - max(logit) FILTER (output_id = target) AS loss FROM logits JOIN t USING (step) WHERE target <> -100 GROUP BY step) SELECT round(avg(loss), 6) AS loss FROM l")
