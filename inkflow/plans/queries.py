@@ -12,6 +12,7 @@ from inkflow.operators import decode, model, numeric, sampling, suffixes, wordfr
 from inkflow.plans import han, jobs, sequence
 from inkflow.plans.lineage import scratch
 from inkflow.sources import mix, permute, readers, shards
+from inkflow.sources import shard_source as shard_files
 from inkflow.streaming import mix as stream_mix
 from inkflow.streaming import windows as streaming
 
@@ -226,6 +227,23 @@ def packed_lookup(spark, sf_dir):
     return vocab.to_output_ids(rows, vocab.output_vocabulary(spark, codes_of(spark))).select("output_id", vocab.pack(F.col("row")).alias("packed"), "n")
 
 
+@query(f"WITH {han.OUTPUT_SQL} SELECT output_id::INTEGER AS output_id, r[1] <= 25 AS letters FROM outs")
+def letter_outputs(spark, sf_dir):
+    """Outputs that are spelled in letters, of all that the texts give."""
+    return outputs_of(spark, sf_dir).select("output_id", vocab.is_letter_row(F.col("row")).alias("letters"))
+
+
+@query(f"WITH {han.HAN_SQL} SELECT ord, char, code FROM shapes UNION ALL SELECT place::INTEGER, word, NULL FROM words")
+def tables_from_files(spark, sf_dir):
+    """The code table and the word list of the texts, written as JSON files and loaded from them."""
+    path = scratch(spark)
+    shards.write_json(spark, f"{path}/codes.json", dict(han.shape_list(spark, sf_dir)), ordered=True)
+    shards.write_json(spark, f"{path}/words.json", han.top_words(spark, sf_dir))
+    words = readers.read_words(spark, f"{path}/words.json")
+    listed = spark.createDataFrame([(i, w, None) for i, w in enumerate(words)], "ord int, char string, code string")
+    return readers.read_codes(spark, f"{path}/codes.json").union(listed)
+
+
 @query(f"WITH {han.OUTPUT_SQL} SELECT output_id::INTEGER AS output_id, array_to_string(CASE WHEN r[1] <= 25 THEN r ELSE [-100, -100, -100, -100, -100] END, ',') AS slots FROM outs")
 def slot_targets(spark, sf_dir):
     return outputs_of(spark, sf_dir).select("output_id", F.array_join(vocab.slot_targets(F.col("row")).cast("array<string>"), ",").alias("slots"))
@@ -454,6 +472,33 @@ def shards_round_trip(spark, sf_dir):
 ORACLES["shards_round_trip"] = ORACLES["windows_sharded"] + " AND shard_id >= 1"
 
 
+@query(ORACLES["windows_sharded"])
+def shard_source(spark, sf_dir):
+    """Shards written and read as a data source of their own, a partition for each."""
+    path = scratch(spark)
+    shard_files.write_source(placed(spark, sf_dir).select("start", "ids"), path, PER_SHARD)
+    return window_digests(shard_files.read_source(spark, path), "shard_id")
+
+
+@query(f"WITH {IDS_SQL} SELECT start, md5(array_to_string(ids, ',')) AS ids_md5, name FROM placed, (VALUES ('same'), ('train')) t(name)")
+def cache_round_trip(spark, sf_dir):
+    """A cache read back by a run of the same settings, and as a train split once its settings are lost; no run of others gets it."""
+    path, settings = scratch(spark), {"block": 256, "sources": ("src0", "src1")}
+    shards.write_cache(placed(spark, sf_dir).select("start", "ids"), path, settings)
+    others = [shards.read_cache(spark, path, {**settings, "block": 128}), shards.read_cache(spark, f"{path}/none", settings)]
+    held = [("same", shards.read_cache(spark, path, {"sources": ["src0", "src1"], "block": 256}))]
+    lost = scratch(spark)
+    spark.read.parquet(f"{path}/data").write.parquet(f"{lost}/data")
+    others.append(shards.read_cache(spark, lost, settings, "validation"))
+    held.append(("train", shards.read_cache(spark, lost, settings, "train")))
+    held += [("wrong", c) for c in others if c is not None]
+    out = None
+    for name, c in held:
+        part = c.select("start", joined(F.col("ids").cast("array<string>")).alias("ids_md5"), F.lit(name).alias("name"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 CUT = 250_000
 
 
@@ -664,6 +709,19 @@ def words_by_last_char(spark, sf_dir):
     return w.select("char", F.array_join(F.transform("words", lambda x: F.concat(x["word"], F.lit(":"), x["rank"].cast("string"))), ",").alias("words"))
 
 
+SAMPLE = 400
+
+
+@query(f"""WITH w AS (SELECT * FROM {values([(i, s, x) for i, (s, x) in enumerate(WEIGHTS.items())], 'ord, source, weight')}),
+quota AS (SELECT ord, source, greatest(1, round_even({SAMPLE}.0::DOUBLE * weight::DOUBLE / {sum(WEIGHTS.values())!r}::DOUBLE, 0)) AS quota FROM w),
+ranked AS (SELECT ord, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) JOIN quota USING (source) WHERE rank <= quota),
+words AS (SELECT ord, doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS place FROM (SELECT ord, doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|(?s:.)') AS l FROM ranked))
+SELECT word, count(*) AS n FROM words WHERE length(word) >= 2 AND unicode(word) > 127 AND NOT regexp_full_match(word, '\\p{{N}}+') GROUP BY word ORDER BY n DESC, min({{'o': ord, 'd': doc_id, 'p': place}}) LIMIT 1000""".replace("\\\\", "\\"))
+def sampled_vocabulary(spark, sf_dir):
+    """The whole job: the first documents of each source by its weight, cleaned, cut into words and counted."""
+    return jobs.build_vocabulary(docs_of(spark, sf_dir), WEIGHTS, dict(MINI_DICT), SAMPLE)
+
+
 # ---------------------------------------------------------------- decoding
 
 @query(f"""WITH {HAN_IDS_SQL}, used AS (SELECT id::INTEGER AS output_id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM han_ids) GROUP BY ALL),
@@ -886,6 +944,16 @@ def cross_entropy(spark, sf_dir):
     return sampling.cross_entropy(logits_of(spark, sf_dir), t).select(F.round("loss", 6).alias("loss"))
 
 
+@query(f"""WITH {LOGITS_SQL}, t AS (SELECT vec_id AS step, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE (label * 3)::INTEGER END AS target FROM embeddings),
+used AS (SELECT target AS output_id FROM t WHERE target <> -100 UNION SELECT output_id FROM logits WHERE output_id % 6 = 0),
+l AS (SELECT step, ln(sum(exp(logit))) - max(logit) FILTER (output_id = target) AS loss FROM logits JOIN used USING (output_id) JOIN t USING (step) WHERE target <> -100 GROUP BY step) SELECT round(avg(loss), 6) AS loss FROM l""")
+def sampled_loss(spark, sf_dir):
+    """The loss over all targets and every other output alone."""
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("step"), F.when(F.col("vec_id") % 5 == 0, -100).otherwise(F.col("label") * 3).alias("target"))
+    l = logits_of(spark, sf_dir)
+    return sampling.sampled_cross_entropy(l, t, l.where("output_id % 6 = 0").select("output_id").distinct()).select(F.round("loss", 6).alias("loss"))
+
+
 @query("SELECT vec_id AS step, label AS target, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS index FROM embeddings")
 def target_index(spark, sf_dir):
     return sampling.target_index(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("step"), F.col("label").alias("target")))

@@ -28,12 +28,12 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Written beside, then renamed over the old file in one step: a reader finds the old value or the new one."""
+def write_json(spark: SparkSession, path: str, value: dict | list, ordered: bool = False) -> None:
+    """Written beside, then renamed over the old file in one step: a reader finds the old value or the new one. Keys are sorted unless they are ``ordered``."""
     fs, p = _file(spark, path)
     _, beside = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(beside, True)
-    out.write(bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()))
+    out.write(bytearray(json.dumps(value, sort_keys=not ordered, ensure_ascii=False).encode()))
     out.close()
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     kind = getattr(hadoop, "Options$Rename")
