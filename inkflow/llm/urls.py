@@ -18,14 +18,14 @@ from inkflow.llm.common import cut, table
 
 #: Fixed rules: host and path prefix, and the verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Children of a node from which it is generalised; levels with nodes of their own, what is deeper is one wildcard.
+#: Children of a node from which it is generalised; levels after which shapes that are alone below their node are finished at once.
 MANY, LEVELS = 12, 6
 #: Pseudo-pages that smooth a template, pseudo-hosts that smooth a domain and all hosts, the share of blocked ones that rejects, and the z
 #: score up to which branches are alike.
 PRIOR, HOSTS, REJECT, ALIKE = 8.0, 2.0, 0.9, 1.96
 #: Pages from which a branch is frequent: so many, all blocked, reach REJECT against the prior.
 RARE = 32
-WILD, REST = "*", "**"
+WILD = "*"
 
 
 def host_of(url: Column) -> Column:
@@ -66,8 +66,11 @@ def domain_of(host: Column) -> Column:
 def templates(shapes: DataFrame, many: int = MANY, levels: int = LEVELS) -> DataFrame:
     """``shapes(host, segments, n, bad, good)`` with ``template``, the segments as the tree of their host has them, and ``wild``, with its wildcards alone."""
     t = shapes.withColumns({"template": F.array().cast("array<string>"), "wild": F.array().cast("array<string>")})
-    for level in range(levels):
-        here = F.get("segments", F.lit(level))
+    level = 0
+    while not t.where(F.size("segments") > F.size("template")).isEmpty():
+        if level >= levels:
+            t = _finished(t, level)
+        here = F.when(F.size("template") == level, F.get("segments", F.lit(level)))
         child = t.where(here.isNotNull()).groupBy("host", "template", here.alias("segment")).agg(
             F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"),
             F.avg(F.size("segments") - level).alias("depth"), F.max(F.get("segments", F.lit(level + 1)).isNull()).alias("leaf"))
@@ -87,8 +90,17 @@ def templates(shapes: DataFrame, many: int = MANY, levels: int = LEVELS) -> Data
         t = t.join(named, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")) & (here == F.col("_segment")), "left")
         longer = lambda c, x: F.when(F.col("name").isNotNull(), F.array_append(c, x)).otherwise(F.col(c)).alias(c)
         t = cut(t.select("host", "segments", "n", "bad", "good", longer("template", F.col("name")), longer("wild", F.when(F.col("name") == WILD, F.col("name")).otherwise(F.col("_segment")))))
-    deep = F.size("segments") > levels
-    return t.withColumns({c: F.when(deep, F.array_append(c, F.lit(REST))).otherwise(F.col(c)) for c in ("template", "wild")})
+        level += 1
+    return t
+
+
+def _finished(t: DataFrame, level: int) -> DataFrame:
+    """Shapes that are the only one to go on below their node have no siblings at any level to come: each segment is a node."""
+    going = F.size("segments") > F.size("template")
+    alone = t.where(going).groupBy("host", "template").count().where("count = 1").select(F.col("host").alias("_host"), F.col("template").alias("_template"))
+    t = t.join(alone, going & (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")), "left")
+    rest = lambda c: F.when(F.col("_host").isNotNull(), F.concat(c, F.slice("segments", level + 1, F.size("segments")))).otherwise(F.col(c)).alias(c)
+    return cut(t.select("host", "segments", "n", "bad", "good", rest("template"), rest("wild")))
 
 
 def purities(t: DataFrame) -> DataFrame:
@@ -112,8 +124,8 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None)
     A null url, or one without ://, has an empty host and path; it is judged by its template like any other. Where no rule
     fits, the verdict is block if the template's smoothed purity reaches REJECT, else allow. Hosts of which as many pages
     of a path are blocked as allowed say nothing to others. ``labels(page_id, bad)`` adds labelled pages to those that rules
-    fit; rows without an id or a value, and all but the worst of an id, are left out. Urls of any length are read whole; what lies deeper
-    than LEVELS is one wildcard. Repeated rows are judged alike. Other columns are not read; an empty table gives an empty result.
+    fit; rows without an id or a value, and all but the worst of an id, are left out. Urls of any length are read whole and
+    paths of any depth have a node for each segment. Repeated rows are judged alike. Other columns are not read; an empty table gives an empty result.
     """
     verdicts = dict(rules)
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -136,8 +148,12 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+#: Levels of the tree that the SQL spells out.
+SQL_LEVELS = 8
+
+
 def _sql() -> str:
-    """The same in SQL, a few relations per level of the tree."""
+    """The same in SQL, a few relations per level of the tree; as many levels as paths are deep, SQL_LEVELS at most."""
     af, aa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     host, rules = f"translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{af}', '{aa}')", sorted(RULES, key=lambda r: -len(r[0]))
     fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
@@ -150,7 +166,7 @@ def _sql() -> str:
         f"p AS (SELECT *, CASE {ruled} END AS ruled, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {kind}) AS segments FROM p1)",
         "t0 AS (SELECT host, segments, count(*) AS n, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good, []::VARCHAR[] AS template, []::VARCHAR[] AS wild FROM p GROUP BY host, segments)",
     ]
-    for k in range(LEVELS):
+    for k in range(SQL_LEVELS):
         pooled, own, rest = "((all_bad + 1) / (al + 2)::DOUBLE)", "(bad + good)", "(al - bad - good)"
         z = f"abs((bad + {pooled}) / ({own} + 1) - (all_bad - bad + {pooled}) / ({rest} + 1)) / sqrt({pooled} * (1 - {pooled}) * (1 / ({own} + 1)::DOUBLE + 1 / ({rest} + 1)::DOUBLE))"
         merged = "'{l' || round(depth, 0)::DOUBLE::VARCHAR || CASE WHEN leaf THEN '$' ELSE '' END || '}'"
@@ -161,7 +177,7 @@ def _sql() -> str:
             f"t{k + 1} AS (SELECT t.host, t.segments, t.n, t.bad, t.good, CASE WHEN name IS NOT NULL THEN list_append(t.template, name) ELSE t.template END AS template, CASE WHEN name IS NOT NULL THEN list_append(t.wild, CASE WHEN name = '{WILD}' THEN name ELSE t.segments[{k + 1}] END) ELSE t.wild END AS wild FROM t{k} t LEFT JOIN n{k} m ON t.host = m.host AND t.template = m.template AND t.segments[{k + 1}] = m.segment)",
         ]
     out += [
-        f"t AS (SELECT host, regexp_extract(host, '([^.]*\\.?[^.]*)$', 1) AS domain, segments, bad, good, CASE WHEN len(segments) > {LEVELS} THEN list_append(template, '{REST}') ELSE template END AS template, CASE WHEN len(segments) > {LEVELS} THEN list_append(wild, '{REST}') ELSE wild END AS wild FROM t{LEVELS})",
+        f"t AS (SELECT host, regexp_extract(host, '([^.]*\\.?[^.]*)$', 1) AS domain, segments, bad, good, template, wild FROM t{SQL_LEVELS})",
         "u AS (SELECT host, template, sum(bad)::BIGINT AS own_bad, sum(bad + good)::BIGINT AS own FROM t GROUP BY host, template)",
         "h AS (SELECT host, domain, wild, sum(bad) AS b, sum(good) AS g FROM t GROUP BY ALL HAVING sum(bad) <> sum(good))",
         "e AS (SELECT domain, wild, count(*) FILTER (b > g) AS db, count(*) AS dn FROM h GROUP BY ALL)",

@@ -30,7 +30,7 @@ def plain(pages):
         bad[host, segments] += rule is not None and RULES[rule] == "block"
         good[host, segments] += rule is not None and RULES[rule] == "allow"
     template, wild = {k: () for k in n}, {k: () for k in n}
-    for level in range(6):
+    for level in range(max((len(k[1]) for k in n), default=0)):
         nodes = defaultdict(lambda: defaultdict(list))
         for k in n:
             if len(k[1]) > level:
@@ -50,9 +50,6 @@ def plain(pages):
                     name = f"{{l{math.floor(depth + 0.5)}{'$' if any(len(k[1]) == level + 1 for k in ks) else ''}}}"
                 for k in ks:
                     template[k], wild[k] = (*template[k], name), (*wild[k], "*" if name == "*" else s)
-    for k in n:
-        if len(k[1]) > 6:
-            template[k], wild[k] = (*template[k], "**"), (*wild[k], "**")
     own, host = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
     for k in n:
         for t in (own[k[0], template[k]], host[k[0], wild[k]]):
