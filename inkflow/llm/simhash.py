@@ -23,6 +23,8 @@ from inkflow.llm.common import BROADCAST_KEYS, components, cut, small_batches, t
 
 #: Fingerprints that a shard of the index aims to hold, shards of a table at most, fingerprints of one task, the fan-out of the trees.
 SHARD, SHARDS, HELD, FAN = 32_768, 65_536, 131_072, 16
+#: Leading bits by which the borders of shards are found.
+CELL = 16
 #: Pairs of query and node that are expanded at once.
 FRONTIER = 1 << 17
 
@@ -146,6 +148,26 @@ def tables(codes: DataFrame, most: int) -> DataFrame:
     return codes.select("fp", F.explode(F.array(*each)).alias("t")).select("t.place", "t.lead", "fp")
 
 
+def borders(rows: DataFrame, most: int, size: float) -> dict[int, np.ndarray]:
+    """The last lead of each shard of ``tables`` rows, for each table, shards holding about ``size`` rows.
+
+    Leads are counted by their first CELL bits, so what is shuffled and collected is bounded, whatever the rows.
+    """
+    at = [64 * k // (most + 1) for k in range(most + 2)]
+    low = [max(0, at[k + 1] - at[k] - CELL) for k in range(most + 1)]
+    cell = F.floor(F.col("lead") / F.element_at(F.array(*[F.lit(1 << x).cast("long") for x in low]), F.col("place") + 1)).cast("long")
+    counts = rows.groupBy("place", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    place, cells, n = (counts.column(c).to_numpy() for c in ("place", "cell", "n"))
+    out = {}
+    for k in np.unique(place):
+        own = np.flatnonzero(place == k)
+        own = own[np.argsort(cells[own])]
+        upto = np.cumsum(n[own])
+        last = np.flatnonzero(np.diff(np.floor(upto / size), append=-1) != 0)[:-1]  # a shard ends with the cell in which it is full
+        out[int(k)] = (cells[own][last] + 1 << low[k]) - 1
+    return out
+
+
 def links(codes: DataFrame, most: int = 2, shard: int = SHARD, held: int = HELD) -> DataFrame:
     """Edges (a, b) that connect all distinct ``codes(fp)`` with ``most`` or fewer differing bits, as stars."""
     spark = codes.sparkSession
@@ -154,9 +176,7 @@ def links(codes: DataFrame, most: int = 2, shard: int = SHARD, held: int = HELD)
     rows = tables(codes, most)
     if shards > 1:
         # A shard ends where the leading block does, so fingerprints that agree in it stay together.
-        share = [k / shards for k in range(1, shards)]
-        ends = {r["place"]: sorted(set(r["ends"])) for r in rows.groupBy("place").agg(F.percentile_approx("lead", share, max(10_000, 20 * shards)).alias("ends")).collect()}
-        sent = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in ends.items()})
+        sent = spark.sparkContext.broadcast(borders(rows, most, n / shards))
     else:
         sent = spark.sparkContext.broadcast({})
 
