@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import small_batches, table
+from inkflow.llm.common import cut, small_batches, table
 
 #: Buckets of the hashed n-grams, their lengths, and the additive smoothing.
 BUCKETS, LENGTHS, SMOOTH = 1 << 16, (1, 2, 3), 0.1
@@ -86,13 +86,14 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at]), pa.array([n, *(found[lang][at] if len(at) else [])], pa.int64())], ["lang", "bucket", "n"])
 
     summed = docs.select("text", "lang").where("lang is not null").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = cut(summed)  # counted once; what follows reads the counts
     languages = sorted(r["lang"] for r in summed.where("bucket = -1").select("lang").collect())
     if len(languages) > LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the matrix that is broadcast is bounded at {LANGUAGES}")
-    t = summed.toArrow()  # BUCKETS rows a language at most
+    number = F.element_at(F.create_map(*[x for i, l in enumerate(languages) for x in (F.lit(l), F.lit(i))]), F.col("lang")) if languages else F.lit(0)
+    t = summed.select(number.alias("lang"), "bucket", "n").toArrow()  # three numbers for each of BUCKETS a language at most
     counts, priors = np.zeros((BUCKETS, max(1, len(languages)))), np.ones(max(1, len(languages)))
-    column = {x: i for i, x in enumerate(languages)}
-    lang = np.array([column[x] for x in t.column("lang").to_pylist()], np.int64)
+    lang = t.column("lang").to_numpy()
     bucket, n = t.column("bucket").to_numpy(), t.column("n").to_numpy()
     own = bucket >= 0
     counts[bucket[own], lang[own]] = n[own]
