@@ -38,10 +38,14 @@ def _fold_table() -> np.ndarray:
 _FOLD = _fold_table()
 
 
+def units(text: str) -> np.ndarray:
+    """The text in UTF-16: a character beyond 16 bits is two units, each pair its own."""
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+
+
 def grams(text: str, order: int = ORDER) -> list[np.ndarray]:
-    """For k in 1..order the packed k-gram that ends at each character; starts are padded; digits and blanks fold."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    c = _FOLD[np.where(c < 1 << 16, c, 0xFFFD)]
+    """For k in 1..order the packed k-gram that ends at each unit; starts are padded; digits and blanks fold."""
+    c = _FOLD[units(text)]
     keys = [c]
     for k in range(1, order):
         shifted = np.full(len(c), 2, np.uint64)
@@ -55,7 +59,7 @@ def pieces(text: str | None, chars: int = CHARS, order: int = ORDER):
     text = text or ""
     for at in range(0, max(1, len(text)), chars):
         back = min(at, order - 1)
-        yield grams(text[at - back : at + chars], order), back
+        yield grams(text[at - back : at + chars], order), len(units(text[at - back : at]))
 
 
 class Weights:

@@ -122,7 +122,8 @@ def bayes(learn, texts):
 
 
 def folded(text):
-    return "".join(" " if ord(c) < 33 or 127 <= ord(c) < 161 else "0" if c in "0123456789" else "�" if ord(c) > 0xFFFF else c for c in text)
+    pair = lambda n: chr(0xD800 + (n >> 10)) + chr(0xDC00 + (n & 0x3FF))
+    return "".join(" " if ord(c) < 33 or 127 <= ord(c) < 161 else "0" if c in "0123456789" else pair(ord(c) - 0x10000) if ord(c) > 0xFFFF else c for c in text)
 
 
 class KneserNey:
