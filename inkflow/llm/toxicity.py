@@ -3,9 +3,9 @@
 Voters are induced from a bounded sample of labelled texts: lexicon voters (the text holds a word, or a word with a
 certain beginning, so that one voter speaks for a family of words) and pattern voters (its form). A voter says
 "toxic" or abstains. Chance is measured on shuffled labels: a feature votes only if it stands out more than any
-feature does there. A generative label model gives each voter its rates under either label, and the voters'
-correlations as a tree in which each voter also depends on one other; the given label is one more voter, of fixed
-reliability, which anchors the two classes. Its posterior labels train a linear classifier, which scores every whole text.
+feature does there. That is all that labels are used for: a generative
+label model estimates the voters' accuracies, and their correlations as a tree, from their votes alone, and its posterior labels train a
+linear classifier, which scores every whole text.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from inkflow.llm.common import cut, small_batches, table
 SAMPLE, FEATURES, VOTERS = 20_000, 4096, 256
 #: How much likelier under label 1 a feature must be; shuffles of the labels; lengths of word beginnings.
 LIFT, SHUFFLES, PREFIX = 4.0, 3, (4, 5, 6, 7, 8)
-#: How far a given label is trusted by the label model.
-TRUST = 0.98
+#: In what share of the texts that it is found in a voter has to be right.
+RIGHT = 0.85
+#: As how many votes a voter's accuracy counts that is believed beforehand; the posterior of a row without votes.
+WEIGHT, SILENT = 50.0, 0.02
 WORD, UPPER, MARK = re.compile(r"[^\W\d_]+"), re.compile(r"[A-Z]"), re.compile(r"[^\w\s]")
 
 
@@ -53,39 +55,35 @@ def form(text: str | None) -> set[str]:
     return {f"form:{k}" for k, v in seen.items() if v}
 
 
-def label_model(votes: np.ndarray, given_labels: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
-    """Posterior of label 1 for each row of 0/1 ``votes`` (0: the voter abstains).
+def label_model(votes: np.ndarray, trust: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Posterior of label 1 for each row of 0/1 ``votes`` (0: the voter abstains), from the votes and what is believed of the voters.
 
-    P(votes | label) is a tree: each voter depends on the label and on the voter that its votes tell most about
-    (the heaviest spanning tree of the conditional mutual information, found anew while the labels still move).
-    ``given_labels``: 0/1 labels that are right with probability TRUST, whatever the voters say; without them a row
-    with any vote is held to be 1 at first.
+    A vote is right with its voter's accuracy, which EM estimates: ``trust`` is believed of a voter beforehand, as WEIGHT votes seen. An
+    abstention says nothing, and no vote speaks against its label. Voters that vote together are no independent witnesses: in a tree (the
+    heaviest spanning tree of the conditional mutual information, found anew while the labels still move) each voter has one accuracy
+    where the voter above it votes too and one where it is silent, and adds only what it says beyond that one. A row without votes is
+    held to be 0.
     """
-    n, m = votes.shape
     v = votes.astype(np.float32)
-    told = np.zeros(n) if given_labels is None else np.where(given_labels > 0, 1, -1) * np.log(TRUST / (1 - TRUST))
-    post = np.where(v.sum(axis=1) > 0, 0.9, 0.02) if given_labels is None else 1 / (1 + np.exp(-told))
+    covered = votes.any(axis=1)
+    post = np.where(covered, 1 - np.exp(v @ np.log1p(-np.clip(trust, 0, 0.99))), SILENT)
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    right = lambda ones, of: (ones + WEIGHT * trust) / (of + WEIGHT)
     for step in range(rounds):
         if step % 10 == 0:
             parent = _tree(v, post)
             up = np.where(parent < 0, 0, parent)
             given = np.where(parent < 0, 0, v[:, up]).astype(np.float32)
             both = v * given
-        before, pi = post, np.clip(post.mean(), 1e-3, 0.9)
-        logs = np.empty((n, 2))
-        for y, w in ((0, 1 - post), (1, post)):
-            w32 = w.astype(np.float32)
-            total, held, own, joint = w.sum(), (w32 @ given).astype(np.float64), (w32 @ v).astype(np.float64), (w32 @ both).astype(np.float64)
-            p1, p0 = (joint + 0.5) / (held + 1), (own - joint + 0.5) / (total - held + 1)
-            l11, l10, l01, l00 = np.log(p1), np.log(1 - p1), np.log(p0), np.log(1 - p0)
-            # log P of each vote given its parent's, written as a constant and weights of the votes
-            logs[:, y] = np.log((1 - pi, pi)[y]) + l00.sum() + v @ (l01 - l00) + given @ (l10 - l00) + both @ (l11 - l10 - l01 + l00)
-        post = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1] - told, -500, 500)))
+            own, joint = v.sum(axis=0, dtype=np.float64), both.sum(axis=0, dtype=np.float64)
+        before, pi = post, post.mean()
+        own1, joint1 = post @ v, post @ both
+        alone = np.maximum(0, logit(right(own1 - joint1, own - joint)) - logit(pi))
+        beside = np.maximum(0, logit(right(joint1, joint)) - logit(right(own1, own)[up]))
+        post = np.where(covered, 1 / (1 + np.exp(-(logit(pi) + v @ alone + both @ (beside - alone)))), SILENT)
         if np.abs(post - before).max() < 1e-4:
             break
-    # The label that goes with more votes is 1.
-    rate = lambda w: (w @ v.sum(axis=1)) / max(w.sum(), 1e-9)
-    return post if given_labels is not None or rate(post) >= rate(1 - post) else 1 - post
+    return post
 
 
 def _tree(v: np.ndarray, post: np.ndarray) -> np.ndarray:
@@ -203,16 +201,22 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 67) -> tuple[dict[str, f
     names, x = [[*at][k] for k in chosen], x[:, chosen]
     if not names:
         return {}, -4.0
-    post = label_model(x, y)
-    w, b = linear_classifier([np.flatnonzero(r) for r in x], len(names), post)
-    b = -_threshold((x @ w).astype(np.float64), y)
+    w, b = linear_classifier([np.flatnonzero(r) for r in x], len(names), label_model(x, accuracy(x, y)))
     return {f: float(v) for f, v in zip(names, w)}, float(b)
 
 
+def accuracy(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How often each feature is right where it is found, half a text of either label added."""
+    return (x[y > 0].sum(axis=0) + 0.5) / (x.sum(axis=0) + 1)
+
+
 def voters_of(names: list[str], x: np.ndarray, y: np.ndarray, least: float) -> list[int]:
     """Features that become voters, strongest first: of a family (one begins like the other) only what stands out where the stronger ones are silent."""
     out: list[int] = []
+    good = accuracy(x, y) >= RIGHT
     for k, f in enumerate(names):
+        if not good[k]:
+            continue
         kind, own = f.split(":", 1)
         family = [j for j in out if kind != "form" and not names[j].startswith("form:") and (own.startswith(names[j].split(":", 1)[1]) or names[j].split(":", 1)[1].startswith(own))]
         rest = ~x[:, family].any(axis=1) if family else np.ones(len(y), bool)
@@ -227,16 +231,6 @@ def voters_of(names: list[str], x: np.ndarray, y: np.ndarray, least: float) -> l
     return out
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """Between two scores of the sample, where precision and recall of its labels are best together (F1); of equal places the highest."""
-    order = np.argsort(-z, kind="stable")
-    right = np.cumsum(y[order] > 0)
-    steps = np.flatnonzero(np.diff(z[order], append=-np.inf))
-    f1 = 2 * right[steps] / (steps + 1 + right[-1])
-    k = steps[f1.argmax()]
-    return float((z[order[k]] + z[order[k + 1]]) / 2 if k + 1 < len(z) else z[order[k]] - 1)
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score) per document: 0 to 1, higher where label 1 is likelier.
 

@@ -237,3 +237,88 @@ def masked(text):
     if not starts:
         return text
     return "".join("" if held[i] and i and held[i - 1] else "[SECRET]" if held[i] else c for i, c in enumerate(text))
+
+
+# ---- label model and classifier over votes
+
+
+def logit(p):
+    p = min(max(p, 1e-4), 1 - 1e-4)
+    return math.log(p / (1 - p))
+
+
+def vote_tree(votes, post):
+    """The voter above each voter, or -1: the heaviest tree of the mutual information given the label, grown from the first voter."""
+    n, m = len(votes), len(votes[0])
+    gain = [[0.0] * m for _ in range(m)]
+    for label in (0, 1):
+        w = [p if label else 1 - p for p in post]
+        total = sum(w) + 1e-9
+        for i in range(m):
+            for j in range(m):
+                for a in (0, 1):
+                    for b in (0, 1):
+                        joint = max(sum(x for x, r in zip(w, votes) if r[i] == a and r[j] == b) / total, 1e-12)
+                        alone = max(sum(x for x, r in zip(w, votes) if r[i] == a) * sum(x for x, r in zip(w, votes) if r[j] == b) / total**2, 1e-12)
+                        gain[i][j] += total / n * joint * math.log(joint / alone)
+    above, inside = [-1] * m, [0]
+    while len(inside) < m:
+        g, i, j = max((gain[i][j], i, j) for i in inside for j in range(m) if j not in inside)
+        above[j] = i if g > 0.005 else -1
+        inside.append(j)
+    return above
+
+
+def vote_posteriors(votes, trust, weight=50.0, silent=0.02, rounds=60):
+    m = len(trust)
+    post = [1 - math.prod(1 - min(t, 0.99) for v, t in zip(r, trust) if v) if any(r) else silent for r in votes]
+    right = lambda rows, t: (sum(p for p in rows) + weight * t) / (len(rows) + weight)
+    for step in range(rounds):
+        if step % 10 == 0:
+            above = vote_tree(votes, post)
+        pi = sum(post) / len(post)
+        of = [right([p for r, p in zip(votes, post) if r[j]], trust[j]) for j in range(m)]
+        alone, beside = [], []
+        for j, k in enumerate(above):
+            without = [p for r, p in zip(votes, post) if r[j] and (k < 0 or not r[k])]
+            both = [p for r, p in zip(votes, post) if r[j] and k >= 0 and r[k]]
+            alone.append(max(0.0, logit(right(without, trust[j])) - logit(pi)))
+            beside.append(max(0.0, logit(right(both, trust[j])) - logit(of[k])) if k >= 0 else 0.0)
+        before = post
+        post = [1 / (1 + math.exp(-(logit(pi) + sum(beside[j] if above[j] >= 0 and r[above[j]] else alone[j] for j in range(m) if r[j])))) if any(r) else silent for r in votes]
+        if max(abs(a - b) for a, b in zip(post, before)) < 1e-4:
+            break
+    return post
+
+
+def logistic(votes, post, rounds=600, ridge=2e-5):
+    """(weights, bias) by gradient steps, each divided by the root of the squares so far."""
+    n, m = len(votes), len(votes[0])
+    mean = min(max(sum(post) / n, 1e-3), 0.999)
+    w, b, sw, sb = [0.0] * m, logit(mean), [1e-6] * m, 1e-6
+    for _ in range(rounds):
+        e = [1 / (1 + math.exp(-(b + sum(w[j] for j in range(m) if r[j])))) - p for r, p in zip(votes, post)]
+        g = [sum(x for x, r in zip(e, votes) if r[j]) / n + ridge * w[j] for j in range(m)]
+        gb = sum(e) / n
+        sw, sb = [s + x * x for s, x in zip(sw, g)], sb + gb * gb
+        w, b = [x - 0.5 * y / math.sqrt(s) for x, y, s in zip(w, g, sw)], b - 0.5 * gb / math.sqrt(sb)
+    return w, b
+
+
+def chosen_voters(names, rows, labels, least, right=0.85, lift=4.0):
+    """Features in the order given that are right often enough, and that stand out where those of their family before them are silent."""
+    out = []
+    for k, f in enumerate(names):
+        held = [y for r, y in zip(rows, labels) if r[k]]
+        if (sum(held) + 0.5) / (len(held) + 1) < right:
+            continue
+        own = f.split(":", 1)[1]
+        family = [j for j in out if not f.startswith("form:") and not names[j].startswith("form:") and (own.startswith(names[j].split(":", 1)[1]) or names[j].split(":", 1)[1].startswith(own))]
+        rest = [(r[k], y) for r, y in zip(rows, labels) if not any(r[j] for j in family)]
+        n1, n0 = sum(y for _, y in rest), sum(not y for _, y in rest)
+        a, b = sum(1 for v, y in rest if v and y), sum(1 for v, y in rest if v and not y)
+        if a and n0 and (a + 0.5) / (n1 + 1) > lift * (b + 0.5) / (n0 + 1):
+            share = n1 / (n1 + n0)
+            if 2 * (a * math.log((a + 0.01) / ((a + b) * share)) + b * math.log((b + 0.01) / ((a + b) * (1 - share)))) > least:
+                out.append(k)
+    return out

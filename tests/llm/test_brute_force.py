@@ -307,13 +307,42 @@ def test_toxicity_scores_are_the_models(spark):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and (got[i] >= 0.5) == (i % 4 == 0)
 
 
+def some_votes(n, rates, seed=0):
+    """Labels, votes of voters that fire under label 1 and 0 at the rates given, and one that repeats the first."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.2
+    votes = np.stack([np.where(y, rng.random(n) < a, rng.random(n) < b) for a, b in rates], axis=1)
+    return y, np.concatenate([votes, votes[:, :1]], axis=1)
+
+
 def test_label_model_finds_the_truth():
-    rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.2
-    votes = np.stack([np.where(y, rng.random(3000) < a, rng.random(3000) < b) for a, b in ((0.8, 0.02), (0.7, 0.05), (0.6, 0.02), (0.75, 0.03))] + [], axis=1).astype(np.int8)
-    votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a voter that repeats another
-    post = toxicity.label_model(votes)
+    """Silence is no evidence, so voters that are seldom wrong; which of them is better is found from agreement."""
+    y, votes = some_votes(3000, ((0.8, 0.004), (0.7, 0.01), (0.6, 0.004), (0.75, 0.006)))
+    post = toxicity.label_model(votes, np.full(5, 0.9))
     assert ((post > 0.5) == y).mean() > 0.95
+    several = votes[:, :4].sum(axis=1) > 1
+    assert post[several].min() > 0.9 > 0.05 > post[~votes.any(axis=1)].max()
+
+
+def test_label_model_against_a_plain_one():
+    y, votes = some_votes(250, ((0.8, 0.02), (0.7, 0.1), (0.3, 0.02), (0.5, 0.3)), seed=3)
+    trust = toxicity.accuracy(votes, y)
+    assert trust == pytest.approx([(sum(y[votes[:, j]]) + 0.5) / (votes[:, j].sum() + 1) for j in range(5)])
+    post = toxicity.label_model(votes, trust)
+    want = plain.vote_posteriors(votes.astype(int).tolist(), trust.tolist())
+    assert post == pytest.approx(want, abs=1e-3) and min(want) < 0.1 and max(want) > 0.9
+    w, b = toxicity.linear_classifier([np.flatnonzero(r) for r in votes], 5, post)
+    plain_w, plain_b = plain.logistic(votes.astype(int).tolist(), post.tolist())
+    assert w == pytest.approx(plain_w, abs=2e-2) and b == pytest.approx(plain_b, abs=2e-2)
+
+
+def test_voters_against_a_plain_choice():
+    rng = np.random.default_rng(5)
+    y = rng.random(400) < 0.2
+    names = [f"{k}:{w}" for w in ("bad", "badly", "worse", "wors", "fine") for k in ("w", "4", "4x")] + ["form:upper", "form:short"]
+    x = np.stack([np.where(y, rng.random(400) < a, rng.random(400) < b) for a, b in rng.uniform((0.05, 0.0), (0.6, 0.05), (len(names), 2))], axis=1)
+    got = toxicity.voters_of(names, x, y.astype(int), 6.0)
+    assert got == plain.chosen_voters(names, x.tolist(), y.tolist(), 6.0) and 2 < len(got) < len(names)
 
 
 def test_pipeline(spark, sf_dir, duck):
