@@ -6,7 +6,7 @@ ranks like a real corpus, and these grow with it. Beside each relation stands th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkflow.functions.vocab import tokens
@@ -56,16 +56,10 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, char, code) of the characters that the texts hold; two share a code."""
     i = F.ascii("word") - FIRST
     letters = F.concat(F.chr(97 + F.floor(i / 2)), F.when(i % 4 >= 2, "z").otherwise(""))
-    ord_ = F.rank().over(_by_word()) - 1
+    ord_ = F.rank().over(Window.orderBy("word")) - 1  # a row for each character of the alphabet
     return chars(spark, sf_dir).select(ord_.alias("ord"), F.col("word").alias("char"), letters.alias("code"))
 
 
-def _by_word():
-    from pyspark.sql import Window
-
-    return Window.orderBy("word")
-
-
 def shape_list(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
     """(char, code) in their order, for functions that take the code table as a list."""
     return [(r["char"], r["code"]) for r in shapes(spark, sf_dir).orderBy("ord").collect()]

@@ -716,7 +716,7 @@ SAMPLE = 400
 quota AS (SELECT ord, source, greatest(1, round_even({SAMPLE}.0::DOUBLE * weight::DOUBLE / {sum(WEIGHTS.values())!r}::DOUBLE, 0)) AS quota FROM w),
 ranked AS (SELECT ord, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) JOIN quota USING (source) WHERE rank <= quota),
 words AS (SELECT ord, doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS place FROM (SELECT ord, doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|(?s:.)') AS l FROM ranked))
-SELECT word, count(*) AS n FROM words WHERE length(word) >= 2 AND unicode(word) > 127 AND NOT regexp_full_match(word, '\\p{{N}}+') GROUP BY word ORDER BY n DESC, min({{'o': ord, 'd': doc_id, 'p': place}}) LIMIT 1000""".replace("\\\\", "\\"))
+SELECT word, count(*) AS n FROM words WHERE length(word) >= 2 AND unicode(word) > 127 AND NOT regexp_full_match(word, '\\p{{N}}+') GROUP BY word ORDER BY n DESC, min({{'o': ord, 'd': doc_id, 'p': place}}) LIMIT 1000""")
 def sampled_vocabulary(spark, sf_dir):
     """The whole job: the first documents of each source by its weight, cleaned, cut into words and counted."""
     return jobs.build_vocabulary(docs_of(spark, sf_dir), WEIGHTS, dict(MINI_DICT), SAMPLE)
