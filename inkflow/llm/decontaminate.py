@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,21 +24,53 @@ BLOCK_CHARS = 16_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_FOLD).split()
+#: Odd, so that its powers can be undone; bytes whose numbers are made at once.
+_BASE, _PIECE = 0x9E3779B97F4A7C15, 1 << 20
+_powers = np.ones((2, 1), np.uint64)
 
 
-class Hashes(dict):
-    """Number of a word, kept while there are not too many of them."""
+def _powers_to(n: int) -> np.ndarray:
+    """Powers of the base and of its inverse (modulo 2^64), up to the n-th; made once for a process and longer when longer words come."""
+    global _powers
+    if _powers.shape[1] <= n:
+        more = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64).repeat(max(n, 2 * _powers.shape[1]), axis=1)
+        _powers = np.concatenate([np.ones((2, 1), np.uint64), np.cumprod(more, axis=1, dtype=np.uint64)], axis=1)
+    return _powers
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+class Words:
+    """The words of a text: folded bytes, where each word begins and ends in them, and a number for each, equal for equal words."""
+
+    def __init__(self, text: str | None):
+        self.folded = (text or "").encode().translate(_FOLD)
+        inside = np.zeros(len(self.folded) + 2, bool)
+        inside[1:-1] = np.frombuffer(self.folded, np.uint8) != 32
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.start, self.end = edge[::2], edge[1::2]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def numbers(self) -> np.ndarray:
+        """Sums of bytes times powers of the base, differences of sums over the text, so that no word is looked at by itself."""
+        out, i = np.empty(len(self), np.uint64), 0
+        while i < len(self):
+            low = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, low + _PIECE, side="right")))
+            high = self.end[j - 1]
+            power, inverse = _powers_to(high - low)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(np.frombuffer(self.folded, np.uint8, high - low, low) * power[: high - low], out=sums[1:])
+            begin, stop = self.start[i:j] - low, self.end[i:j] - low
+            out[i:j] = (sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64)
+            i = j
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ out >> np.uint64(32)
+
+    def spelled(self, i: int, j: int) -> bytes:
+        """Words ``i`` up to ``j`` with single blanks between."""
+        return b" ".join(self.folded[self.start[i] : self.end[j - 1]].split())
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
@@ -60,24 +91,38 @@ def held(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == found, at, -1)
 
 
+class Sieve:
+    """Which leading bits the keys have, so that a key is searched for only where one may be: most shingles of a text are none of an item's."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(10, (8 * len(keys)).bit_length())
+        self.keys, self.shift, self.mark = keys, np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.mark[keys >> self.shift] = True
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Those of ``found``, by their places, that are keys."""
+        may = np.flatnonzero(self.mark[found >> self.shift])
+        return may[held(self.keys, found[may]) >= 0]
+
+
 class Windows:
     """The windows of a block of items: words one after the other, and where the windows begin and how many words they have."""
 
     def __init__(self, items, size: int, width: int):
-        known, hashes, text, sizes, starts, lengths, owners, names = Hashes(), [], [], [], [], [], [], []
+        hashes, text, sizes, starts, lengths, owners, names = [], [], [], [], [], [], []
         place = 0
         for name, t in items:
-            ws = words(t)
-            if not ws:
+            ws = Words(t)
+            if not len(ws):
                 continue
             n = max(1, len(ws) - size + 1)
             starts.append(np.arange(place, place + n))
             lengths.append(np.full(n, min(size, len(ws)), np.int16))
             owners.append(np.full(n, len(names), np.int32))
             names.append(name)
-            hashes.append(known.of(ws))
-            sizes.append(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
-            text.append(b" ".join(ws) + b" ")
+            hashes.append(ws.numbers())
+            sizes.append(ws.end - ws.start + 1)
+            text.append(ws.spelled(0, len(ws)) + b" ")
             place += len(ws)
         join = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
         self.names, self.text, self.width = names, b"".join(text), width
@@ -137,15 +182,15 @@ class Windows:
         return out
 
 
-def _hits(ws: list[bytes], h: np.ndarray, index: dict, windows: Windows) -> tuple[list[tuple[int, int]], set[str]]:
-    spans, items, seen = [], set(), set()
+def _hits(ws: Words, index: dict, sieves: dict[int, Sieve], windows: Windows) -> tuple[list[tuple[int, int]], set[str]]:
+    spans, items, seen, h = [], set(), set(), ws.numbers()
     for k, (keys, offsets, owned) in index.items():
         s = shingles(h, k)
-        for i in np.flatnonzero(held(keys, s) >= 0):
+        for i in sieves[k].places(s):
             for j in range(np.searchsorted(keys, s[i]), np.searchsorted(keys, s[i], side="right")):
                 w = owned[j]
                 a, n = int(i - offsets[j]), int(windows.length[w])
-                if a >= 0 and a + n <= len(ws) and b" ".join(ws[a : a + n]) == windows.spelled(windows.start[w], n):
+                if a >= 0 and a + n <= len(ws) and ws.spelled(a, a + n) == windows.spelled(windows.start[w], n):
                     spans.append((a, a + n))
                     if w not in seen:
                         seen.add(w)
@@ -183,13 +228,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, width
         sent = spark.sparkContext.broadcast(own.known)
 
         def counted(batches, sent=sent):
-            number, seen = Hashes(), {k: np.zeros(len(v), np.int64) for k, v in sent.value.items()}
+            seen = {k: np.zeros(len(v), np.int64) for k, v in sent.value.items()}
+            sieves = {k: Sieve(v) for k, v in sent.value.items()}
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    h = number.of(words(t))
+                    h = Words(t).numbers()
                     for k, keys in sent.value.items():
-                        at = held(keys, shingles(h, k))
-                        seen[k][np.unique(at[at >= 0])] += 1
+                        s = shingles(h, k)
+                        seen[k][np.unique(held(keys, s[sieves[k].places(s)]))] += 1
             for k, n in seen.items():
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(n[at])], ["k", "id", "n"])
@@ -204,12 +250,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, width
         index = spark.sparkContext.broadcast((own.index(counts), own))
 
         def matched(batches, index=index):
-            number, (prefixes, own) = Hashes(), index.value
+            prefixes, own = index.value
+            sieves = {k: Sieve(keys) for k, (keys, _, _) in prefixes.items()}
             for b in batches:
                 new: list = [[], [], []]
                 for t, spans, items in zip(b.column(0).field("text").to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    ws = words(t)
-                    more, found = _hits(ws, number.of(ws), prefixes, own)
+                    ws = Words(t)
+                    more, found = _hits(ws, prefixes, sieves, own)
                     new[0].append(len(ws))
                     new[1].append([{"a": x, "b": y} for x, y in _union([*((s["a"], s["b"]) for s in spans), *more])])
                     new[2].append(sorted({*items, *found}))
