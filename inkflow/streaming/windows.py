@@ -64,7 +64,7 @@ def windows_of_batch(batch: DataFrame, batch_id: int, path: str, block: int = 25
     skip = F.greatest(F.lit(0).cast("long"), number(passed) * stride - F.col("start"))
     late = late.where(F.col("start") + F.size("ids") > number(passed) * stride)
     late = late.select("shard", (F.col("start") + skip).alias("start"), F.slice("ids", skip.cast("int") + 1, F.size("ids")).alias("ids"))
-    late.coalesce(1).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
+    late.repartition(1).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
     write_state(spark, path, batch_id, {"ids": ids, "ends": [*held["ends"], sum(passed)]})
     drop_folder(spark, f"{path}/tail/batch={batch_id - 2}")
 
