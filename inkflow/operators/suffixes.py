@@ -7,14 +7,21 @@ answers by equality of (last character, beginning).
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkflow.functions.batches import arrow_function
 from inkflow.functions.text import WORD_MOST
 from inkflow.operators.decode import CONTEXT
+from inkflow.plans.lineage import cut
 
 #: Rows of an index that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Words of a dictionary that a pass over the texts holds.
+BLOCK_WORDS = 250_000
 
 
 def places(texts: DataFrame, key: tuple[str, ...], text: str = "text", most: int = CONTEXT) -> DataFrame:
@@ -54,3 +61,57 @@ def best_frequency(at: DataFrame, dictionary: DataFrame, key: tuple[str, ...], m
     d = F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
     found = _asked(at, 0, most).join(d, (F.col("char") == F.col("_last")) & (F.col("beginning") == F.col("_beginning")))
     return found.groupBy(*key, "pos").agg(F.max("freq").alias("freq"))
+
+
+def best_scores(texts: DataFrame, key: tuple[str, ...], scores: DataFrame, least: int, most: int, text: str = "text") -> DataFrame:
+    """(key, best): for each place of each text the greatest score of a word that ends there, with ``least`` to ``most`` characters before it.
+
+    ``scores(word, score)``, a score is a list of numbers; places where no word ends have none. Places stay in their text, so that no row is made
+    of them and none is shuffled; a dictionary above BLOCK_WORDS is taken in blocks, a pass over the texts for each. Rows of one key count as one.
+    """
+    held = cut(scores.where(F.char_length("word").between(least + 1, most + 1)))
+    blocks = max(1, -(-held.count() // BLOCK_WORDS))
+    greater = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(y.isNull() | (x >= y), x).otherwise(y))
+    one_row = texts.groupBy(*key).count().where("count > 1").isEmpty()
+    out = texts
+    for i in range(blocks):
+        part = held.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == i) if blocks > 1 else held
+        found = _ends(texts.sparkSession, part, least, most)(F.col(text))
+        out = out.withColumn("best" if not i else "_next", found)
+        out = out.withColumn("best", greater(F.col("best"), F.col("_next"))).drop("_next") if i else out
+    out = out.select(*key, "best").where(F.col("best").isNotNull())
+    if one_row:
+        return out
+    all_of = F.collect_list("best")
+    return out.groupBy(*key).agg(F.reduce(all_of, F.array().cast("array<array<bigint>>"), greater).alias("best"))
+
+
+def _ends(spark, part: DataFrame, least: int, most: int):
+    table: dict[str, list[int]] = {}
+    for r in part.collect():
+        table[r["word"]] = max(table.get(r["word"], r["score"]), r["score"])
+    words = spark.sparkContext.broadcast(table)
+
+    def ends(texts: pa.Array) -> pa.Array:
+        known = words.value
+        longest = min(most, max(map(len, known), default=1) - 1)
+        # No word reaches beyond a stretch of characters that words have; stretches come again and again.
+        stretch = re.compile("[" + re.escape("".join(set().union(*known))) + "]+") if known else None
+        seen: dict[str, list] = {}
+
+        def best(s: str) -> list:
+            found = ([known[w] for k in range(least, min(i, longest) + 1) if (w := s[i - k : i + 1]) in known] for i in range(len(s)))
+            return [max(x) if x else None for x in found]
+
+        def one(t: str) -> list:
+            out: list = [None] * len(t)
+            for m in stretch.finditer(t) if stretch else ():
+                s = m.group()
+                if s not in seen:
+                    seen[s] = best(s)
+                out[m.start() : m.end()] = seen[s]
+            return out
+
+        return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.list_(pa.list_(pa.int64())))
+
+    return arrow_function(ends, "array<array<bigint>>")
