@@ -116,9 +116,13 @@ def sharded(docs: DataFrame, rows_per_shard: int) -> DataFrame:
     return d.select("shard_id", (low - F.col("shard_id") * rows_per_shard).alias("start"), F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("ids"))
 
 
-def manifest(docs: DataFrame, rows_per_shard: int, block: int = BLOCK, stride: int = STRIDE) -> DataFrame:
-    """(shard_id, rows, windows, first_window): windows never cross shards."""
-    m = sharded(docs, rows_per_shard).groupBy("shard_id").agg(F.sum(F.size("ids")).cast("long").alias("rows"))
+def manifest(docs: DataFrame, rows_per_shard: int, block: int = BLOCK, stride: int = STRIDE, size: Column | None = None) -> DataFrame:
+    """(shard_id, rows, windows, first_window): windows never cross shards. With ``size``, a column of lengths, the ids need not be there."""
+    d = docs.select("start", (F.size("ids") if size is None else size).cast("long").alias("_n")).where("_n > 0")
+    shard = F.explode(F.sequence(F.floor(F.col("start") / rows_per_shard), F.floor((F.col("start") + F.col("_n") - 1) / rows_per_shard)))
+    d = d.select("start", "_n", shard.alias("shard_id"))
+    rows = F.least((F.col("shard_id") + 1) * rows_per_shard, F.col("start") + F.col("_n")) - F.greatest(F.col("shard_id") * rows_per_shard, F.col("start"))
+    m = d.groupBy("shard_id").agg(F.sum(rows).cast("long").alias("rows"))
     m = m.withColumn("windows", window_count(F.col("rows"), block, stride))
     return prefix_sum(m, "shard_id", F.col("windows"), "first_window")
 

@@ -52,3 +52,12 @@ def test_next_ids_are_a_greedy_pick(spark):
     d = spark.createDataFrame(seqs, "seq long, ids array<int>").repartition(2)
     want = sampling.pick(model.next_logits(d, outs, w, shape), "greedy")
     assert sorted(map(tuple, model.next_ids(d, outs, w, shape).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shards_are_listed_without_ids(spark, sf_dir):
+    from inkflow.plans import queries, sequence
+
+    plan = queries.shard_list(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    d = spark.createDataFrame([(0, [1] * 5), (5, [1] * 12), (17, [])], "start long, ids array<int>")
+    assert sorted((r["shard_id"], r["rows"]) for r in sequence.manifest(d, 4, 2, 2).collect()) == [(0, 4), (1, 4), (2, 4), (3, 4), (4, 1)]
