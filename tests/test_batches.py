@@ -61,3 +61,19 @@ def test_shards_are_listed_without_ids(spark, sf_dir):
     assert "ArrowEvalPython" not in plan
     d = spark.createDataFrame([(0, [1] * 5), (5, [1] * 12), (17, [])], "start long, ids array<int>")
     assert sorted((r["shard_id"], r["rows"]) for r in sequence.manifest(d, 4, 2, 2).collect()) == [(0, 4), (1, 4), (2, 4), (3, 4), (4, 1)]
+
+
+def test_symbols_of_whole_texts_are_spelled_at_once(spark):
+    lists = [["a", "", "no", "\n", "é", "no"], None, [], [" "], ["", "[PAD]", "cj_b"]]
+    d = spark.createDataFrame(list(enumerate(lists)), "i int, s array<string>").coalesce(1)
+    got = [r[1] for r in d.select("i", decode.first_ids_of_symbols(F.col("s"))).orderBy("i").collect()]
+    each = d.select("i", F.posexplode("s").alias("p", "w")).select("i", "p", decode.rows_of_symbols(F.when(F.col("w") == "", F.array().cast("array<string>")).otherwise(F.array("w"))).alias("r"))
+    want = {(r["i"], r["p"]): ";".join(str(x[0]) for x in r["r"]) for r in each.collect()}
+    assert got == [None if s is None else [want[i, p] for p in range(len(s))] for i, s in enumerate(lists)]
+
+
+def test_symbol_rows_move_no_word(spark, sf_dir):
+    from inkflow.plans import queries
+
+    plan = queries.symbol_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
