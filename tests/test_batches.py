@@ -63,6 +63,34 @@ def test_shards_are_listed_without_ids(spark, sf_dir):
     assert sorted((r["shard_id"], r["rows"]) for r in sequence.manifest(d, 4, 2, 2).collect()) == [(0, 4), (1, 4), (2, 4), (3, 4), (4, 1)]
 
 
+def test_words_are_counted_in_their_lists(spark, monkeypatch):
+    """Counts and first places as from a row for each word, whatever the slices; lists that are null, words that are blank, sources that are null."""
+    monkeypatch.setattr(wordfreq, "SLICE_BYTES", 100)
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(2)) if i % 9 else None, 50 - i, None if i == 3 else [f"木{x} " if x % 2 else f" 明日{'林' * x}" for x in rng.integers(0, 6, i % 13)]) for i in range(50)]
+    d = spark.createDataFrame(rows, "source_ord int, doc_id long, words array<string>").repartition(3)
+    want = {}
+    for source, doc, words in rows:
+        for place, w in enumerate(words or ()):
+            if not any(c.isdigit() for c in w):
+                n, first = want.get(w.strip(), (0, (9, 0, 0)))
+                want[w.strip()] = (n + 1, min(first, (-1 if source is None else source, doc, place)))
+    counts = wordfreq.word_counts(d)
+    got = {r["word"]: (r["n"], (-1 if r["first"][0] is None else r["first"][0], *r["first"][1:])) for r in counts.collect()}
+    assert {w: got[w] for w in want} == want and len(want) == 3
+    assert "MapInArrow" in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_characters_are_found_without_cutting_words(spark, sf_dir, tmp_path):
+    from inkflow.plans import han
+
+    rows = [(1, "abz 9"), (2, None), (3, han.HAN[3] + "Q"), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = han.shapes(spark, str(tmp_path))
+    assert sorted((r["ord"], r["char"]) for r in found.collect()) == list(enumerate(han.HAN[i] for i in (0, 1, 3, 25)))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_symbols_of_whole_texts_are_spelled_at_once(spark):
     lists = [["a", "", "no", "\n", "é", "no"], None, [], [" "], ["", "[PAD]", "cj_b"]]
     d = spark.createDataFrame(list(enumerate(lists)), "i int, s array<string>").coalesce(1)
