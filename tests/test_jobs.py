@@ -193,3 +193,12 @@ def test_windows_of_a_batch_that_is_repeated(spark, tmp_path):
     got = streaming.read_windows(spark, out).select("window_id", "x", "target")
     want = sequence.windows(jobs.placed(d), 32, 16)
     assert got.count() == want.count() > 20 and got.exceptAll(want).isEmpty()
+
+
+def test_registered_windows_of_a_stream_hold_no_shard_in_a_task(spark, sf_dir, monkeypatch):
+    """The registered query does not go by the keyed state, which sorts what a micro-batch brings to a shard in one task."""
+    from inkflow.plans import queries
+
+    monkeypatch.setattr(queries.streaming, "stream_windows", None)
+    w = queries.stream_windows(spark, sf_dir)
+    assert w.columns == ["shard", "window_id", "x_md5", "target_md5"] and w.select("shard").distinct().count() == queries.STREAM_SHARDS
