@@ -159,3 +159,10 @@ def test_ties_stay_in_top_k(spark):
 def test_splits():
     assert [sequence.validation_windows(n) for n in (128, 129, 100_000, 10_000_000)] == [0, 128, 200, 1024]
     assert [sequence.validation_shards(n) for n in (1, 3, 9)] == [0, 2, 4]
+
+
+def test_ids_are_made_once_below_a_filter(spark):
+    d = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
+    ids = d.select("doc_id", encode.framed(encode.encoder()(F.col("doc_id"), F.col("text"))).alias("ids")).where(F.size("ids") > 2)
+    assert [r["ids"] for r in ids.collect()] == [[2, 69, 70, 3]]
+    assert ids._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
