@@ -91,16 +91,22 @@ def windows(docs: DataFrame, block: int = BLOCK, stride: int = STRIDE, by: tuple
         last = F.least(last, F.floor((total - block - 1) / stride))
     first, last = first.cast("long"), last.cast("long")
 
+    # Windows inside one document are cut out of it as they are, right where their numbers are listed, so none carries a whole document along.
+    inner, outer = F.greatest(first, F.ceil(F.col("start") / stride).cast("long")), F.least(last, F.floor((end - block) / stride).cast("long"))
+    own = docs.select(*by, "start", "ids", F.explode(F.when(inner <= outer, F.sequence(inner, F.greatest(inner, outer)))).alias("window_id"))
+    at = (F.col("window_id") * stride - F.col("start") + 1).cast("int")
+    own = own.select(*by, "window_id", F.slice("ids", at, block).alias("x"), F.slice("ids", at + 1, block).alias("target"))
+
     def piece(k):
         low, high = F.greatest(k * stride, F.col("start")), F.least(k * stride + block + 1, F.col("start") + size)
-        return F.struct(k.alias("window_id"), F.struct(F.col("start"), F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("part")).alias("piece"))
+        return F.struct(k.alias("window_id"), low.alias("low"), F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("part"))
 
-    # Slices are cut before the rows are multiplied, so that no window carries a whole document.
-    lent = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), piece))
-    pieces = docs.select(*by, F.explode(lent).alias("w")).select(*by, "w.window_id", "w.piece")
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["part"]))
+    # Only those that cross documents are put together, from a block at most at each end.
+    crossing = F.filter(F.when(first <= last, F.sequence(first, F.greatest(first, last))), lambda k: (k < inner) | (k > outer))
+    pieces = docs.select(*by, F.explode(F.transform(crossing, piece)).alias("w")).select(*by, "w.*")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("low", "part"))), lambda p: p["part"]))
     w = pieces.groupBy(*by, "window_id").agg(whole.alias("ids")).where(F.size("ids") == block + 1)
-    return w.select(*by, "window_id", F.slice("ids", 1, block).alias("x"), F.slice("ids", 2, block).alias("target"))
+    return own.union(w.select(*by, "window_id", F.slice("ids", 1, block).alias("x"), F.slice("ids", 2, block).alias("target")))
 
 
 def window_count(rows: Column, block: int = BLOCK, stride: int = STRIDE) -> Column:

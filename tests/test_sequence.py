@@ -166,3 +166,12 @@ def test_ids_are_made_once_below_a_filter(spark):
     ids = d.select("doc_id", encode.framed(encode.encoder()(F.col("doc_id"), F.col("text"))).alias("ids")).where(F.size("ids") > 2)
     assert [r["ids"] for r in ids.collect()] == [[2, 69, 70, 3]]
     assert ids._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_windows_inside_a_document_are_not_grouped(spark):
+    """Of 10,000 windows only those that cross documents are put together: the rows that go into groups are their parts."""
+    d = docs(spark, [0, 2563, 2000, 5, 35_433])
+    w = sequence.windows(d, 4, 4)
+    assert {r["window_id"]: r["x"] for r in w.collect()} == {k: [4 * k + i for i in range(4)] for k in range(10_000)}
+    plan = w._jdf.queryExecution().optimizedPlan()
+    assert plan.getClass().getSimpleName() == "Union" and "Aggregate" not in plan.children().apply(0).toString()
