@@ -1,5 +1,7 @@
 """Slices of Arrow batches, and the operators that work on whole texts and lists in place of rows."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -23,6 +25,21 @@ def test_long_texts_are_encoded_without_paths(spark):
     assert got[1] == [357, 101 + 0xC3, 101 + 0xA9] * 100_000 and got[2] == [ord("a") - 28, 357] and got[3] == []
 
 
+def test_memory_beside_the_ids_does_not_grow_with_a_text(monkeypatch):
+    """Pieces end between characters of any width, and give the ids that the whole text gives."""
+    table = encode.single_ids([("木", "ab")])
+    text = "木é a\n🥰" * 500_000
+    tracemalloc.start()
+    got = encode.ids_of(text, table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * got.nbytes
+    assert got.tolist() == [357, 101 + 0xC3, 101 + 0xA9, 4, ord("a") - 28, 99, *(101 + b for b in "🥰".encode())] * 500_000
+    for n in (1, 2, 5, 99):
+        monkeypatch.setattr(encode, "PIECE", n)
+        assert [encode.ids_of(text[:k], table).tolist() for k in (0, 1, 5, 6, 50)] == [got[:k].tolist() for k in (0, 1, 6, 10, 83)]
+
+
 def test_words_are_counted_before_they_are_written(spark):
     d = spark.createDataFrame([(0, 2, ["ab", "木b", "c"]), (0, 1, ["x", "ab"])], "source_ord int, doc_id long, words array<string>")
     got = wordfreq.word_counts(d, lambda w: F.translate(w, "abcx", "木林明月"))
