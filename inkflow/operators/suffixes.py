@@ -63,13 +63,23 @@ def best_frequency(at: DataFrame, dictionary: DataFrame, key: tuple[str, ...], m
     return found.groupBy(*key, "pos").agg(F.max("freq").alias("freq"))
 
 
+def not_outdone(scores: DataFrame, shortest: int) -> DataFrame:
+    """``scores(word, score)`` without words that never decide: where one ends, its last ``shortest`` characters end too, and are a word that scores as much."""
+    n = F.char_length("word")
+    ends = scores.where(n == shortest).groupBy(F.col("word").alias("_end")).agg(F.max("score").alias("_most"))
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    both = scores.join(ends, F.right("word", F.lit(shortest)) == F.col("_end"), "left")
+    return both.where((n == shortest) | F.col("_most").isNull() | (F.col("score") > F.col("_most"))).select("word", "score")
+
+
 def best_scores(texts: DataFrame, key: tuple[str, ...], scores: DataFrame, least: int, most: int, text: str = "text") -> DataFrame:
     """(key, best): for each place of each text the greatest score of a word that ends there, with ``least`` to ``most`` characters before it.
 
     ``scores(word, score)``, a score is a list of numbers; places where no word ends have none. Places stay in their text, so that no row is made
-    of them and none is shuffled; a dictionary above BLOCK_WORDS is taken in blocks, a pass over the texts for each. Rows of one key count as one.
+    of them and none is shuffled; a dictionary above BLOCK_WORDS is taken in blocks, a pass over the texts for each. Words that a shorter one
+    outdoes are left out before, by a join, so they reach neither the driver nor a worker. Rows of one key count as one.
     """
-    held = cut(scores.where(F.char_length("word").between(least + 1, most + 1)))
+    held = cut(not_outdone(cut(scores.where(F.char_length("word").between(least + 1, most + 1))), least + 1))
     blocks = max(1, -(-held.count() // BLOCK_WORDS))
     greater = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(y.isNull() | (x >= y), x).otherwise(y))
     one_row = texts.groupBy(*key).count().where("count > 1").isEmpty()

@@ -70,3 +70,27 @@ def test_readings_of_conversations(spark, sf_dir):
         right += sum(a == b for a, b in zip(want, r["text"]) if a in of_char)
         total += sum(c in of_char for c in r["text"])
     assert right > 0.7 * total
+
+
+def test_outdone_words_reach_no_worker(spark, sf_dir, monkeypatch):
+    """A character is there as often as any word that ends in it, so of the whole dictionary only the alphabet is held; other words decide and stay."""
+    held, ends = [], suffixes._ends
+
+    def counted(session, part, least, most):
+        held.append(part.count())
+        return ends(session, part, least, most)
+
+    monkeypatch.setattr(suffixes, "_ends", counted)
+    from inkflow.plans import queries
+
+    assert queries.suffix_frequency(spark, sf_dir).count() > 0
+    assert han.dictionary(spark, sf_dir).count() > 100 and sum(held) <= 26
+    words = {"木": 5, "末": 2, "木末": 2, "本末": 3, "末本": 1, "札木": 6, "本末木": 7, "木札": 4}
+    texts = ["木末本末木札木", "本末", "札", "", "木札木末本 本末木"]
+    d = spark.createDataFrame([(w, [s]) for w, s in words.items()], "word string, score array<bigint>")
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert {r["word"] for r in suffixes.not_outdone(d, 1).collect()} == set(words) - {"木末"}
+    got = {r["id"]: r["best"] for r in suffixes.best_scores(t, ("id",), d, 0, 12).collect()}
+    for i, s in enumerate(texts):
+        most = [max((words[w] for k in range(p + 1) if (w := s[k : p + 1]) in words), default=None) for p in range(len(s))]
+        assert got[i] == [None if m is None else [m] for m in most]
